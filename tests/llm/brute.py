@@ -103,3 +103,41 @@ def repeats(docs, n=400):
         spans = len(re.findall(b"\1+", bytes(gone)))
         out[d] = (len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest())
     return out
+
+
+def one_edit(a, b):
+    if abs(len(a) - len(b)) > 1:
+        return False
+    i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:]
+
+
+def line_dedup(docs, least=20):
+    """(n_lines, n_removed, n_near, kept text)."""
+    first = {}
+    for d, t in sorted(docs, key=lambda x: x[0]):
+        for x in (t or "").split("\n"):
+            if len(x) >= least:
+                first.setdefault(x, d)
+    by = defaultdict(list)
+    for x in first:
+        for n in {len(x), len(x) - 1}:
+            by[n, 1, x[: n // 2]].append(x)
+            by[n, 2, x[len(x) - (n - n // 2) :]].append(x)
+    near = {max((first[x], x), (first[y], y))[1] for g in by.values() for i, x in enumerate(g) for y in g[:i] if x != y and one_edit(x, y)}
+    out = {}
+    for d, t in docs:
+        if t is None:
+            out[d] = (0, 0, 0, None)
+            continue
+        now, seen, n_near = [], set(), set()
+        for x in t.split("\n"):
+            if len(x) >= least:
+                if x in near and first[x] == d:
+                    n_near.add(x)
+                if x in near or x in seen or first[x] < d:
+                    continue
+                seen.add(x)
+            now.append(x)
+        out[d] = (len(t.split("\n")), len(t.split("\n")) - len(now), len(n_near), "\n".join(now))
+    return out

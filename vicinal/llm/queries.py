@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, quality_rules, secrets
 from .common import read
+from .line_dedup import dedup_lines
 from .near_dups import near_duplicates
 
 
@@ -32,6 +33,11 @@ def op8_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "n_near", F.sha2("text", 256).alias("kept_sha256"))
+
+
 ORACLES: dict[str, str] = {}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -39,4 +45,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_rules": op7_quality_rules,
     "op8_minhash_near_dups": op8_minhash_near_dups,
     "op9_secret_scan": op9_secret_scan,
+    "op10_line_dedup": op10_line_dedup,
 }
