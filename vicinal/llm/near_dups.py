@@ -8,8 +8,12 @@
    similarity's posterior is Beta(m + 1, n - m + 1); a pair goes as soon as P(similarity >= threshold) is below ``miss``.
 5. Survivors are confirmed on the full sets, then components are closed over the links.
 
-No bucket is expanded into all its pairs at once. Large buckets first try a few pivots each; members that thereby fall
-into one component need no further test among themselves. What stays apart is tried in full, so no link is given up.
+No large bucket is expanded into its pairs. Its members are first tested against a pivot, the member that meets most
+others over all buckets, then against a neighbour in a seeded order; members that fall into one component need no test
+among themselves. What stays apart is bounded exactly: x shares at most ``reach`` shingles with any other member, those
+it has in common with the bucket's pivot plus those others that some other candidate document has too. Members that
+cannot reach the threshold with the smallest member of another component leave the bucket; the rest are tried in full,
+so no link is given up, and a group of near copies costs what its size is, not its square.
 
 Defined results: null and empty texts have the empty set and link with nothing; fewer words than the shingle length make
 one shingle; equal rows and ties collapse to the least id; an empty table gives an empty result.
@@ -169,29 +173,77 @@ def _confirm(percent: int):
     return run
 
 
-def _pairs(members: DataFrame, seed: int, full: bool, percent: int) -> DataFrame:
-    """Candidate pairs (a < b) of ``members(key, id, n, component)`` whose components differ.
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (id, pivot, shared shingles, the pivot's shingles): how many of the first the pivot has, and has not."""
+    for batch in batches:
+        both, other = [], []
+        for x, y in zip(batch.column(2), batch.column(3)):
+            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+            both.append(int(np.isin(x, y, assume_unique=True).sum()))
+            other.append(len(x) - both[-1])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, pa.int64()), pa.array(other, pa.int64())], ["id", "pivot", "p", "t"])
 
-    Small buckets give all such pairs. A large one gives each member against the bucket's pivot and against its
-    neighbour in a seeded order, or all pairs across components if ``full``.
-    """
-    near = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
-    pick = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
-    apart = (F.col("x.component") != F.col("y.component")) & near
-    all_of = members if full else members.where(F.col("size") <= SMALL)
-    out = all_of.alias("x").join(all_of.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & apart).select(pick)
-    if not full:
-        spec = "partition by key order by xxhash64(id, key, {0}), id".format(seed)
-        me = "struct(id, n, component)"
-        large = members.where(F.col("size") > SMALL).select(
-            "id", "n", "component",
-            F.expr(f"first({me}) over ({spec} rows between unbounded preceding and current row)").alias("p"),
-            F.expr(f"lag({me}) over ({spec})").alias("q"),
-        )
-        for other in ("p", "q"):
-            side = large.select(F.struct("id", "n", "component").alias("x"), F.col(other).alias("y")).where(F.col("y.id").isNotNull())
-            out = out.union(side.where(apart).select(pick))
-    return out.distinct()
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per shingle of each set."""
+    for batch in batches:
+        sets = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(1)]
+        ids = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids)), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))], ["id", "h"])
+
+
+def _pick() -> list:
+    return [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
+
+
+def _near(percent: int):
+    """Components that differ, and sizes that allow the similarity."""
+    return (F.col("x.component") != F.col("y.component")) & (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
+
+
+def _small_pairs(members: DataFrame, percent: int) -> DataFrame:
+    x, y = members.where(F.col("size") <= SMALL).alias("x"), members.where(F.col("size") <= SMALL).alias("y")
+    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & _near(percent)).select(_pick())
+
+
+def _star_pairs(members: DataFrame, percent: int, seed: int) -> DataFrame:
+    """Each member of a large bucket against one other: the bucket's pivot, or its neighbour in a seeded order."""
+    large = members.where(F.col("size") > SMALL)
+    if seed:
+        other = F.expr(f"lag(struct(id, n, component)) over (partition by key order by xxhash64(id, key, {seed}), id)")
+        large = large.withColumn("y", other)
+    else:
+        pivots = members.select(F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("component").alias("pc")).dropDuplicates(["pivot"])
+        large = large.join(pivots, "pivot").withColumn("y", F.struct(F.col("pivot").alias("id"), F.col("pn").alias("n"), F.col("pc").alias("component")))
+    return large.select(F.struct("id", "n", "component").alias("x"), "y").where(_near(percent)).select(_pick())
+
+
+def _rest_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs across components of large buckets, but for members whose reach proves that they have no link there."""
+    ids = members.select(F.col("id").alias("doc_id")).distinct()
+    hashes = sets.join(ids, "doc_id", "left_semi").select("doc_id", "shingles").mapInArrow(_hashes, "id long, h long")
+    often = hashes.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("k > 1").select("h")
+    shared = hashes.join(often, "h").groupBy("id").agg(F.collect_list("h").alias("hs"))
+    shared = shared.select("id", "hs").mapInArrow(_packed, "id long, shared binary")
+    pivots = members.select("id", "pivot").distinct()
+    own = pivots.join(shared, "id").join(sets.select(F.col("doc_id").alias("pivot"), "shingles"), "pivot").select("id", "pivot", "shared", "shingles")
+    reach = own.mapInArrow(_common, "id long, pivot long, p long, t long")
+    known = members.join(reach, ["id", "pivot"]).withColumn("least", F.expr("min(n) over (partition by key)"))
+
+    def enough(common: str, sizes: str) -> str:  # 100 * i >= percent * (sizes - i)
+        return f"{100 + percent} * ({common}) >= {percent} * ({sizes})"
+
+    able = known.where(enough("p + t", "n + least")).withColumn("lo", F.expr("min(component) over (partition by key)")).withColumn("hi", F.expr("max(component) over (partition by key)"))
+    able = table(able.where("lo < hi").select("key", "id", "n", "component", "p", "t"), "able")
+    x, y = able.alias("x"), able.alias("y")
+    reached = F.expr(enough("least(x.p, y.p) + least(x.t, y.t)", "x.n + y.n"))
+    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & _near(percent) & reached).select(_pick())
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.array(x.values.to_numpy()).tobytes() for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "shared"])
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-7) -> DataFrame:
@@ -207,7 +259,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     reps = equal.select(F.col("rep").alias("doc_id")).where("doc_id is not null")
     heads = signed.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     keyed = heads.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
-    buckets = table(keyed.withColumn("size", F.expr("count(1) over (partition by key)")).where("size > 1"), "buckets")
+    sized = table(keyed.withColumn("size", F.expr("count(1) over (partition by key)")).where("size > 1"), "sized")
+    central = sized.where(F.col("size") > SMALL).groupBy("id").agg(F.sum("size").alias("met"))
+    ranked = sized.join(central, "id", "left").withColumn("pivot", F.expr("max_by(id, struct(met, -id)) over (partition by key)"))
+    buckets = table(ranked.select("key", "id", "n", "size", "pivot"), "buckets")
     ids = table(buckets.select(F.col("id").alias("doc_id")).distinct(), "members")
     sigs = table(semi(heads.select("doc_id", "sig"), ids, "doc_id"), "signatures")
     sets = table(semi(texts, ids, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_sets(words), "doc_id long, shingles binary"), "sets")
@@ -222,11 +277,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
 
     tested = links = None
     labels = ids.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("component"))
-    for turn, full in enumerate((False, False, True)):
+    for turn in range(3):
         members = buckets.join(labels, "id")
         if turn:  # only large buckets that still hold two components; the small ones are done
-            members = members.where(F.col("size") > SMALL).withColumn("lo", F.expr("min(component) over (partition by key)")).withColumn("hi", F.expr("max(component) over (partition by key)")).where("lo < hi")
-        pairs = _pairs(members, turn, full, percent)
+            members = members.where(F.col("size") > SMALL).withColumn("lo", F.expr("min(component) over (partition by key)")).withColumn("hi", F.expr("max(component) over (partition by key)"))
+            members = table(members.where("lo < hi"), "mixed")
+            if not members.limit(1).count():
+                break
+        if turn == 0:
+            pairs = _small_pairs(members, percent).union(_star_pairs(members, percent, 0))
+        elif turn == 1:
+            pairs = _star_pairs(members, percent, 1)
+        else:
+            pairs = _rest_pairs(members, sets, percent)
+        pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = table(pairs, "pairs")
@@ -248,8 +312,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
             links = found if links is None else links.union(found)
             closed = components(links)
             labels = table(ids.select(F.col("doc_id").alias("id")).join(closed, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "labels")
-        if not full and turn == 0 and not buckets.where(F.col("size") > SMALL).limit(1).count():
-            break
     merged = equal.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("found"))
     out = signed.select("doc_id", "n_shingles", "f1", "f2").join(merged, ["f1", "f2", "n_shingles"], "left")
     component = F.coalesce("found", "doc_id")
