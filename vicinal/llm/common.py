@@ -130,3 +130,17 @@ def blocks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndar
         last = min(n, max(last, first + 1))
         yield first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a block's texts, and where each text's words begin. ``inside`` marks the words' bytes."""
+    n = len(data)
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    before, after = np.ones(n, bool), np.ones(n, bool)
+    before[1:], after[:-1] = ~inside[:-1], ~inside[1:]
+    starts = np.flatnonzero(inside & (before | edge[:n]))
+    ends = np.flatnonzero(inside & (after | edge[1:])) + 1
+    p = prefix_hash(data)
+    _, inv = powers(n + 1)
+    return mix((p[ends] - p[starts]) * inv[starts] + (ends - starts).astype(np.uint64)), np.searchsorted(starts, offsets)

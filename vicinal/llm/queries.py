@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, quality_rules, secrets
-from .common import read
+from . import decontaminate, language_id, quality_rules, secrets, token_counts, toxicity
+from .common import read, shared_folder
 from .line_dedup import dedup_lines
+from .mixing import mix
 from .near_dups import near_duplicates
 from .repeats import remove_repeats
 
@@ -26,6 +28,31 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches, the first two of them sent twice: all documents come; those labelled of low quality go;
+    those labelled toxic are revised to their distinct lines."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    ledger = token_counts.Ledger(spark, f"{shared_folder(spark)}/vicinal/ledger-{uuid.uuid4().hex}", token_counts.version(token_counts.FOLDER, token_counts.VOCABULARY))
+    marked = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
+    come = docs.withColumn("op", F.lit("insert"))
+    gone = docs.join(marked.where("q = 0").select("doc_id"), "doc_id", "left_semi").withColumn("op", F.lit("delete")).withColumn("text", F.lit(None).cast("string"))
+    lines = F.array_join(F.array_distinct(F.split("text", "\n", -1)), "\n")
+    new = docs.join(marked.where("q = 1 and t = 1").select("doc_id"), "doc_id", "left_semi").withColumn("op", F.lit("revise")).withColumn("text", lines)
+    for batch, changes in (("1-come", come), ("2-gone", gone), ("1-come", come), ("3-revised", new), ("2-gone", gone)):
+        ledger.apply(batch, token_counts.count_tokens(changes))
+    return ledger.totals()
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.severity(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(read(spark, sf_dir, "documents"))
+    return mixed.withColumn("probability", F.round("probability", 9))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -56,6 +83,9 @@ ORACLES: dict[str, str] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_decontaminate": op2_decontaminate,
+    "op3_token_rollup": op3_token_rollup,
+    "op4_toxicity": op4_toxicity,
+    "op5_mix_sources": op5_mix_sources,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_minhash_near_dups": op8_minhash_near_dups,
