@@ -132,8 +132,11 @@ def blocks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndar
         first = last
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of a block's texts, and where each text's words begin. ``inside`` marks the words' bytes."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, heads: tuple[int, ...] = ()) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of the words of a block's texts, and where each text's words begin. ``inside`` marks the words' bytes.
+
+    For each size of ``heads`` a further array has the hashes of the words' first so many bytes, 0 for shorter words.
+    """
     n = len(data)
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
@@ -143,4 +146,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tu
     ends = np.flatnonzero(inside & (after | edge[1:])) + 1
     p = prefix_hash(data)
     _, inv = powers(n + 1)
-    return mix((p[ends] - p[starts]) * inv[starts] + (ends - starts).astype(np.uint64)), np.searchsorted(starts, offsets)
+    out = [mix((p[ends] - p[starts]) * inv[starts] + (ends - starts).astype(np.uint64))]
+    for size in heads:
+        long = ends - starts >= size
+        at = starts[long]
+        h = np.zeros(len(starts), np.uint64)
+        h[long] = mix((p[at + size] - p[at]) * inv[at] + np.uint64(size << 32))
+        out.append(h)
+    return out, np.searchsorted(starts, offsets)

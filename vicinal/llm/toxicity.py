@@ -1,13 +1,13 @@
 """Toxicity severity: cumulative-link (proportional-odds) ordinal regression on sparse hashed words.
 
-A text's score s is the weighted sum of log(1 + count) over its words' hash buckets; one weight vector serves all ordered
+A text's score s is the weighted sum of log2(1 + count) over hash buckets of its words and words' beginnings; one weight vector serves all ordered
 thresholds, P(grade <= k) = logistic(theta_k - s). Weights and thresholds are trained by AdaGrad with a proximal L1 step
 in numpy on the driver, over a bounded sample of labelled texts (``sample`` rows). The expected severity is the sum of
 P(grade > k).
 
-Grades come from a ``severity`` column of the labels if there is one. Otherwise a toxic text's grade is 1 with at most one
-occurrence of an indicator word, 2 with two or three, and 3 with more, where indicators are the words whose presence
-raises the odds of the toxic label most; other texts have grade 0.
+Grades come from a ``severity`` column of the labels if there is one. Otherwise a toxic text's grade is 1 if no indicator
+occurs twice in it, 2 if one occurs two or three times, and 3 if more, where indicators are the words (and beginnings)
+whose presence raises the odds of the toxic label most; other texts have grade 0.
 
 Defined results: a null text, or one without words, has severity 0 and grade 0. Without labels of both kinds everything
 has severity 0. A document labelled more than once has its highest grade. Texts are used whole. Rows are independent:
@@ -27,34 +27,49 @@ from pyspark.sql import functions as F
 from .common import blocks, word_hashes
 
 BITS = 18
+#: Besides whole words, features are the words' first so many bytes.
+HEADS = (4, 5, 6, 7)
+#: A feature is used if this many training texts have it, and its presence depends on the label (chi-squared).
+LEAST_TEXTS, LEAST_CHI2, MOST = 8, 24.0, 4096
+#: Training: texts in a step, and least number of steps.
+BATCH, STEPS = 64, 4000
 #: Labelled texts that training may use.
 SAMPLE = 6000
-GRADES = 4
+#: The cut-off lets this share of the clean training texts through at most, unless it would be outside 0.05 to 0.5.
+FALSE_ALARMS = 0.002
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = _LETTER[128:] = True
 
 
+def _damped(n: np.ndarray) -> np.ndarray:
+    """A feature's value for its count."""
+    return np.log2(1 + n)
+
+
 def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each text of a block, its words' distinct buckets and their counts."""
+    """For each text of a block, the distinct buckets of its words and words' heads, and their counts."""
     data = _LOWER[data]
-    h, cut = word_hashes(data, offsets, _LETTER[data])
-    h = (h >> np.uint64(64 - BITS)).astype(np.int32)
+    found, cut = word_hashes(data, offsets, _LETTER[data], HEADS)
+    h = np.stack([(f >> np.uint64(64 - BITS)).astype(np.int32) for f in found], axis=1)
     for a, b in zip(cut[:-1], cut[1:]):
-        yield np.unique(h[a:b], return_counts=True)
+        buckets, n = np.unique(h[a:b], return_counts=True)
+        drop = int(len(buckets) > 0 and buckets[0] == 0)  # bucket 0 is that of words shorter than a head
+        yield buckets[drop:], n[drop:]
 
 
 @dataclass
 class Model:
     weights: np.ndarray
     theta: np.ndarray  # ascending thresholds; empty without training data
+    cutoff: float = 0.5  # a text is called toxic from this probability of a grade above 0
 
     def grade(self, buckets: np.ndarray, n: np.ndarray) -> tuple[float, int, float]:
         """Expected severity, most likely grade, and the probability of any."""
         if not len(buckets) or not len(self.theta):
             return 0.0, 0, 0.0
-        s = float(self.weights[buckets] @ np.log1p(n))
+        s = float(self.weights[buckets] @ _damped(n))
         above = 1 / (1 + np.exp(np.clip(self.theta - s, -50, 50)))
         p = -np.diff(np.concatenate([[1.0], above, [0.0]]))
         return float(above.sum()), int(p.argmax()), float(above[0])
@@ -69,46 +84,64 @@ def indicators(rows: list[tuple[int, np.ndarray, np.ndarray]], least: int = 5, o
     return (hit[0] + hit[1] >= least) & (ratio >= odds)
 
 
+def telling(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Buckets, ascending, whose presence depends on whether the grade is above 0 by a chi-squared test; MOST at most."""
+    n = [sum((y > 0) == toxic for y, *_ in rows) for toxic in (False, True)]
+    a, b = (np.bincount(np.concatenate([b for y, b, _ in rows if (y > 0) == toxic] or [np.zeros(0, int)]), minlength=1 << BITS).astype(float) for toxic in (False, True))
+    both, total = a + b, sum(n)
+    chi2 = total * (a * (n[1] - b) - b * (n[0] - a)) ** 2 / np.maximum(n[0] * n[1] * both * (total - both), 1)
+    chi2[both < LEAST_TEXTS] = 0
+    best = np.argsort(-chi2, kind="stable")[:MOST]
+    return np.sort(best[chi2[best] >= LEAST_CHI2])
+
+
 def graded(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """Labels 0 and 1 made into grades by occurrences of indicator words."""
     known = indicators(rows)
-    return [(y and 1 + int(np.searchsorted([2, 4], c[known[b]].sum(), "right")), b, c) for y, b, c in rows]
+    return [(y and 1 + int(np.searchsorted([2, 4], c[known[b]].max(initial=0), "right")), b, c) for y, b, c in rows]
 
 
-def train(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 12, rate: float = 0.3, l1: float = 2e-4, seed: int = 5) -> Model:
+def train(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 40, rate: float = 0.5, l1: float = 1e-5, seed: int = 5) -> Model:
     """``rows``: grade, buckets and their counts."""
     top = max((r[0] for r in rows), default=0)
     w = np.zeros(1 << BITS)
     if not top or all(r[0] for r in rows):
         return Model(w, np.zeros(0))
     theta = np.linspace(1.0, 3.0, top)
-    seen = np.bincount(np.concatenate([r[1] for r in rows]), minlength=len(w)) >= 3
-    rows = [(y, b[seen[b]], np.log1p(c[seen[b]])) for y, b, c in rows]
-    gw, gt = np.full(len(w), 1e-3), np.full(top, 1e-3)
+    used = telling(rows)
+    x = np.zeros((len(rows), len(used)), np.float32)
+    for i, (_, b, c) in enumerate(rows):
+        at = np.searchsorted(used, b)
+        ok = (at < len(used)) & (used[np.minimum(at, len(used) - 1)] == b) if len(used) else np.zeros(len(b), bool)
+        x[i, at[ok]] = _damped(c[ok])
+    y = np.array([r[0] for r in rows])
+    v = np.zeros(len(used))
+    gv, gt = np.full(len(used), 1e-6), np.full(top, 1e-6)
     rng = np.random.default_rng(seed)
 
-    def cdf(x: float) -> float:
-        return 1 / (1 + np.exp(-min(max(x, -30.0), 30.0)))
-
-    for _ in range(epochs):
-        for i in rng.permutation(len(rows)):
-            y, b, x = rows[i]
-            s = float(w[b] @ x)
-            hi = cdf(theta[y] - s) if y < top else 1.0
-            lo = cdf(theta[y - 1] - s) if y else 0.0
-            p = max(hi - lo, 1e-9)
-            fh, fl = hi * (1 - hi), lo * (1 - lo)
-            d = (fh - fl) / p * x
-            gw[b] += d * d
-            step = rate / np.sqrt(gw[b])
-            v = w[b] - step * d
-            w[b] = np.sign(v) * np.maximum(np.abs(v) - l1 * step, 0)
-            for k, g in ((y, -fh / p), (y - 1, fl / p)):
-                if 0 <= k < top and g:
-                    gt[k] += g * g
-                    theta[k] -= rate * g / np.sqrt(gt[k])
-            theta = np.maximum.accumulate(theta)
-    return Model(w, theta)
+    def cdf(z: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    for _ in range(max(epochs, -(-STEPS * BATCH // len(rows)))):
+        for at in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // BATCH)):
+            s, k = x[at] @ v, y[at]
+            hi = np.where(k < top, cdf(theta[np.minimum(k, top - 1)] - s), 1.0)
+            lo = np.where(k > 0, cdf(theta[np.maximum(k - 1, 0)] - s), 0.0)
+            p = np.maximum(hi - lo, 1e-9) * len(at)
+            fh, fl = hi * (1 - hi) / p, lo * (1 - lo) / p  # 0 at the open ends
+            d = x[at].T @ (fh - fl)
+            gv += d * d
+            step = rate / np.sqrt(gv)
+            v -= step * d
+            v = np.sign(v) * np.maximum(np.abs(v) - l1 * step, 0)
+            d = np.bincount(np.maximum(k - 1, 0), fl, top) - np.bincount(np.minimum(k, top - 1), fh, top)
+            gt += d * d
+            theta = np.maximum.accumulate(theta - rate * d / np.sqrt(gt))
+    w[used] = v
+    model = Model(w, theta)
+    clean = np.sort(1 - cdf(theta[0] - x[y == 0] @ v))[::-1]
+    model.cutoff = float(np.clip(clean[int(FALSE_ALARMS * len(clean))] + 1e-9, 0.05, 0.5))
+    return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -130,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * sample rows
     got = texts.select("y", "text").mapInArrow(run, "y int, b array<int>, n array<int>").toArrow()
     rows = [(y, b.values.to_numpy(), n.values.to_numpy()) for y, b, n in zip(got["y"].to_pylist(), got["b"], got["n"])]
-    rows.sort(key=lambda r: (r[0], len(r[1]), r[1].tolist(), r[2].tolist()))  # the order rows come in does not matter
+    rows = [r for _, r in sorted({(y, b.tobytes(), n.tobytes()): (y, b, n) for y, b, n in rows}.items())]  # copies once, in a fixed order
     return train(rows if given else graded(rows))
 
 
@@ -142,7 +175,7 @@ def severity(docs: DataFrame, model: Model) -> DataFrame:
             for first, data, offsets in blocks(batch.column(1)):
                 found = [model.grade(b, n) for b, n in features(data, offsets)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(found)), *(pa.array([f[i] for f in found], t) for i, t in enumerate((pa.float64(), pa.int32(), pa.float64()))), pa.array([f[2] >= 0.5 for f in found], pa.bool_())],
+                    [batch.column(0).slice(first, len(found)), *(pa.array([f[i] for f in found], t) for i, t in enumerate((pa.float64(), pa.int32(), pa.float64()))), pa.array([f[2] >= model.cutoff for f in found], pa.bool_())],
                     ["doc_id", "severity", "grade", "p_toxic", "toxic"],
                 )
 
