@@ -87,18 +87,18 @@ def _joined(docs: DataFrame, windows: DataFrame) -> DataFrame:
     return out.withColumn("found", F.coalesce("found", F.expr("cast(array() as array<struct<b: int, e: int, code: int>>)"))).withColumn("items", F.coalesce("items", F.expr("cast(array() as array<string>)")))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, text: bool = False, in_plan: int = IN_PLAN) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: doc_id, n_words, n_hit, items, spans, contaminated (and text).
+def contamination(docs: DataFrame, benchmark: DataFrame, *also: str, n: int = 13, in_plan: int = IN_PLAN) -> DataFrame:
+    """One row per row of ``docs(doc_id, text)``: doc_id, ``also``, n_words, n_hit, items, spans, contaminated.
 
     ``spans`` are the maximal runs of hit words as half-open word positions; ``items`` the ids with a window here.
     contaminated: some word is hit, and at least one in twenty.
     """
     windows = benchmark_windows(benchmark, n)
     few = windows.limit(in_plan + 1).collect()
-    base = docs.select("doc_id", *(["text"] * text), words_of(F.col("text")).alias("w"))
+    base = docs.select("doc_id", *also, words_of(F.col("text")).alias("w"))
     out = _in_plan(base, few) if len(few) <= in_plan else _joined(base, windows)
     n_words, n_hit = F.size("w").cast("long"), covered(F.col("found"))
-    out = out.select("doc_id", *(["text"] * text), n_words.alias("n_words"), n_hit.alias("n_hit"), "items", _merged(F.col("found")).alias("spans"))
+    out = out.select("doc_id", *also, n_words.alias("n_words"), n_hit.alias("n_hit"), "items", _merged(F.col("found")).alias("spans"))
     return out.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
 
 
@@ -114,15 +114,15 @@ def _merged(found: Column) -> Column:
     return F.aggregate(found, empty, step)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *also: str, n: int = 13) -> DataFrame:
     """``docs(doc_id, text)`` without contaminated documents, and without the hit words of the others.
 
-    Returns doc_id, text. A text without hits comes back as it was.
+    Returns doc_id, ``also``, text. A text without hits comes back as it was.
     """
-    scored = contamination(docs, benchmark, n, text=True).where(~F.col("contaminated"))
+    scored = contamination(docs, benchmark, "text", *also, n=n).where(~F.col("contaminated"))
     words, gaps = words_of(F.col("text"), RAW_WORD), F.split("text", RAW_WORD, -1)
 
     def rebuilt(w: Column) -> Column:
         return let(gaps, lambda g: F.concat(F.get(g, F.lit(0)), F.array_join(F.transform(w, lambda x, i: F.when(F.exists("spans", lambda s: (s["b"] <= i) & (i < s["e"])), F.lit("")).otherwise(F.concat(x, F.get(g, i + 1)))), "")))
 
-    return scored.select("doc_id", F.when(F.size("spans") == 0, F.col("text")).otherwise(let(words, rebuilt)).alias("text"))
+    return scored.select("doc_id", *also, F.when(F.size("spans") == 0, F.col("text")).otherwise(let(words, rebuilt)).alias("text"))

@@ -149,8 +149,8 @@ def near_links(docs: DataFrame, lines: DataFrame, min_chars: int) -> DataFrame |
     return out.select(F.when(earlier, F.xxhash64("x")).otherwise(F.xxhash64("y")).alias("a"), F.when(earlier, F.col("y")).otherwise(F.col("x")).alias("line"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: doc_id, n_lines, n_removed, n_near and the text without dropped lines.
+def dedup_lines(docs: DataFrame, *also: str, min_chars: int = 20) -> DataFrame:
+    """One row per row of ``docs(doc_id, text)``: doc_id, ``also``, n_lines, n_removed, n_near, the text without dropped lines.
 
     n_near counts the removed lines that are no exact copy of an earlier one.
     """
@@ -170,15 +170,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20) -> DataFrame:
     few = doomed.count() <= 1_000_000
     drop = held.join(F.broadcast(doomed) if few else doomed, ["id", "id2"]).where("near or doc > first")
     drop = drop.groupBy("doc").agg(F.collect_list("id").alias("drop"), F.sum((F.col("near") & (F.col("doc") == F.col("first"))).cast("long")).alias("n_near"))
-    out = texts.withColumn("doc", F.expr(_LAST)).join(drop.hint("shuffle_hash"), "doc", "left")
+    out = docs.select("doc_id", "text", *also).withColumn("doc", F.expr(_LAST)).join(drop.hint("shuffle_hash"), "doc", "left")
 
     def kept(x: Column) -> Column:
         return let(F.struct(x.alias("all"), (F.size(F.array_distinct(x)) == F.size(x)).alias("single")), lambda p: F.filter(p["all"], lambda s, i: (F.length(s) < min_chars) | (
             ~F.coalesce(F.array_contains("drop", F.xxhash64(s)), F.lit(False)) & (p["single"] | (F.array_position(p["all"], s) == i + 1)))))
 
     parts = F.split("text", "\n", -1)
-    out = out.select("doc_id", "text", parts.alias("was"), F.coalesce("n_near", F.lit(0)).alias("n_near"), let(parts, kept).alias("now"))
+    out = out.select("doc_id", "text", *also, parts.alias("was"), F.coalesce("n_near", F.lit(0)).alias("n_near"), let(parts, kept).alias("now"))
     return out.select(
-        "doc_id", F.coalesce(F.size("was"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("was") - F.size("now"), F.lit(0)).cast("long").alias("n_removed"),
+        "doc_id", *also, F.coalesce(F.size("was"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("was") - F.size("now"), F.lit(0)).cast("long").alias("n_removed"),
         "n_near", F.when(F.size("was") == F.size("now"), F.col("text")).otherwise(F.array_join("now", "\n")).alias("text"),
     )
