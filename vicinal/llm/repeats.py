@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, blocks, mix, powers, prefix_hash, table
+from .common import blocks, mix, powers, prefix_hash, table
 
 _DOC = "coalesce(doc_id, 9223372036854775807L)"
 _FAR = np.uint64(0xFFFFFFFF)
@@ -77,15 +77,20 @@ def anchors(data: np.ndarray, offsets: np.ndarray, n: int, k: int) -> tuple[np.n
 
 
 def _anchored(n: int, k: int):
+    """One row per document and context: its anchor, and all its first and last window starts there."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, data, offsets in blocks(batch.column(1)):
-                t, q, lo, hi, a, c = anchors(data, offsets, n, k)
-                base = offsets[t]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(first + t)), pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), *(pa.array((x - base).astype(np.int32)) for x in (q, lo, hi))],
-                    ["doc", "a", "c", "q", "lo", "hi"],
-                )
+                t, _, lo, hi, a, c = anchors(data, offsets, n, k)
+                by = np.lexsort((c, t))
+                t, lo, hi, a, c = t[by], lo[by], hi[by], a[by], c[by]
+                new = np.ones(len(t), bool)
+                new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
+                at = np.flatnonzero(new)
+                cuts = pa.array(np.append(at, len(t)).astype(np.int32))
+                starts, ends = (pa.ListArray.from_arrays(cuts, pa.array((x - offsets[t]).astype(np.int32))) for x in (lo, hi))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + t[at])), pa.array(a[at].view(np.int64)), pa.array(c[at].view(np.int64)), starts, ends], ["doc", "a", "c", "lo", "hi"])
 
     return run
 
@@ -250,25 +255,16 @@ def _applied(n: int):
 def remove_repeats(docs: DataFrame, n: int = 400, k: int = 64) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_bytes, starts and ends of removed runs, kept bytes."""
     texts = docs.select("doc_id", "text", F.expr(_DOC).alias("doc"))
-    found = table(texts.select("doc", "text").mapInArrow(_anchored(n, k), "doc long, a long, c long, q int, lo int, hi int"), "anchors")
-    often = found.groupBy("a").count().where("count > 1").select("a")
-    often = table(often, "often")
-    occurrences = table(found.join(F.broadcast(often) if often.count() <= BROADCAST_KEYS else often, "a", "left_semi"), "occurrences")
-    kinds = occurrences.groupBy("a", "c").agg(F.count(F.lit(1)).alias("copies"), F.min("doc").alias("doc"))
-    kinds = table(kinds, "contexts")
+    found = texts.select("doc", "text").mapInArrow(_anchored(n, k), "doc long, a long, c long, lo array<int>, hi array<int>")
+    occurrences = table(found.withColumn("n", F.expr("sum(size(lo)) over (partition by a)")).where("n > 1").drop("n"), "occurrences")
+    kinds = table(occurrences.groupBy("a", "c").agg(F.sum(F.size("lo")).alias("copies"), F.min("doc").alias("doc")), "contexts")
     mixed = kinds.groupBy("a").agg(F.count(F.lit(1)).alias("kinds"), F.min("copies").alias("least")).where("kinds > 1 and least = 1").select("a")
-    wanted = table(kinds.join(mixed, "a", "left_semi").select("doc", "c"), "wanted")
-    lists = wanted.groupBy("doc").agg(F.collect_list("c").alias("wanted"))
-    lists = F.broadcast(lists) if wanted.count() <= BROADCAST_KEYS else lists.hint("shuffle_hash")
-    sources = texts.select("doc", "text").join(lists, "doc").select("doc", "text", "wanted")
-    bites = sources.mapInArrow(_contexts(n, k), "a long, c long, off int, bytes binary")
-    marks = bites.repartition("a").sortWithinPartitions("a", "c").mapInArrow(_marked(n, k), "a long, c long, b array<int>, e array<int>")
-    marks = table(marks, "marks")
-    copied = occurrences.join(kinds.where("copies > 1").select("a", "c"), ["a", "c"]).select("doc", F.col("lo").alias("b"), F.col("hi").alias("e"))
-    alone = occurrences.join(kinds.where("copies = 1").select("a", "c"), ["a", "c"]).join(marks, ["a", "c"])
-    alone = alone.select("doc", "lo", F.explode(F.arrays_zip("b", "e")).alias("r")).select("doc", (F.col("lo") + F.col("r.b")).alias("b"), (F.col("lo") + F.col("r.e")).alias("e"))
-    ranges = table(copied.union(alone), "ranges")
-    lists = ranges.groupBy("doc").agg(F.collect_list(F.struct("b", "e")).alias("r")).select("doc", F.col("r.b").alias("b"), F.col("r.e").alias("e"))
-    lists = F.broadcast(lists) if ranges.count() <= BROADCAST_KEYS else lists.hint("shuffle_hash")
-    out = texts.join(lists, "doc", "left").select("doc_id", "text", "b", "e")
+    wanted = kinds.join(mixed, "a", "left_semi").groupBy("doc").agg(F.collect_list("c").alias("wanted"))
+    bites = texts.select("doc", "text").join(wanted.hint("shuffle_hash"), "doc").select("doc", "text", "wanted").mapInArrow(_contexts(n, k), "a long, c long, off int, bytes binary")
+    marks = table(bites.repartition("a").sortWithinPartitions("a", "c").mapInArrow(_marked(n, k), "a long, c long, b array<int>, e array<int>"), "marks")
+    verdicts = kinds.select("a", "c", "copies").join(marks, ["a", "c"], "left").where("copies > 1 or b is not null")
+    ranges = F.expr("if(copies > 1, arrays_zip(lo, hi), transform(arrays_zip(b, e), r -> struct(lo[0] + r.b as lo, lo[0] + r.e as hi)))")
+    lists = occurrences.join(verdicts, ["a", "c"]).groupBy("doc").agg(F.flatten(F.collect_list(ranges)).alias("r"))
+    lists = lists.select("doc", F.col("r.lo").alias("b"), F.col("r.hi").alias("e"))
+    out = texts.join(lists.hint("shuffle_hash"), "doc", "left").select("doc_id", "text", "b", "e")
     return out.mapInArrow(_applied(n), "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
