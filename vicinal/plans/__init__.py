@@ -1 +1 @@
-
+"""End-to-end plans: estimators, registered queries and their SQL."""

@@ -1 +1 @@
-
+"""Streams of points through fitted models."""
