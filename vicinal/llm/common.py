@@ -6,10 +6,6 @@ Operators read only the columns they name, so extra columns never clash with the
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.vectors import let  # noqa: F401  operators take these two from here
+from ..sources.shared import settled as table  # noqa: F401
+
 #: Words of the near-duplicate and quality operators: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words of the decontamination operator, after A-Z became a-z.
@@ -30,27 +29,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests), a temporary one that goes at exit."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        made = tempfile.mkdtemp(prefix="vicinal-")
-        atexit.register(shutil.rmtree, made, True)
-        folder = f"file://{made}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet to the shared folder and read back: lineage ends, and any executor can be lost."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/vicinal/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def semi(df: DataFrame, keys: DataFrame, on: str, limit: int = BROADCAST_KEYS) -> DataFrame:
     """Rows of ``df`` whose ``on`` is in ``keys`` (distinct): broadcast if counted small, else shuffled."""
     return df.join(F.broadcast(keys) if keys.count() <= limit else keys, on, "left_semi")
@@ -62,11 +40,6 @@ def lower_ascii(text: Column) -> Column:
     return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once, though the optimizer would inline it into inner lambdas."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def covered(spans: Column) -> Column:
     """Number of positions in a sorted array of ``struct(b, e)`` half-open spans, overlaps once."""
     zero = F.struct(F.lit(0).cast("int").alias("end"), F.lit(0).cast("long").alias("n"))
