@@ -9,11 +9,11 @@
 5. Survivors are confirmed on the full sets, then components are closed over the links.
 
 No large bucket is expanded into its pairs. Its members are first tested against a pivot, the member that meets most
-others over all buckets, then against a neighbour in a seeded order; members that fall into one component need no test
-among themselves. What stays apart is bounded exactly: x shares at most ``reach`` shingles with any other member, those
-it has in common with the bucket's pivot plus those others that some other candidate document has too. Members that
-cannot reach the threshold with the smallest member of another component leave the bucket; the rest are tried in full,
-so no link is given up, and a group of near copies costs what its size is, not its square.
+others over all buckets, then against a second one, the same among those that the first one's component left out; members
+that fall into one component need no test among themselves. What stays apart is bounded exactly: x and y have at most
+those of a pivot's shingles in common that both have, by their bitmaps, plus the lesser of their numbers of other shingles
+that some other candidate document has too. Only pairs that both pivots' bounds allow are tried, so no link is given up,
+and a group of near copies that hang together through few documents is not paired with itself.
 
 Defined results: null and empty texts have the empty set and link with nothing; fewer words than the shingle length make
 one shingle; equal rows and ties collapse to the least id; an empty table gives an empty result.
@@ -173,15 +173,18 @@ def _confirm(percent: int):
     return run
 
 
-def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (id, pivot, shared shingles, the pivot's shingles): how many of the first the pivot has, and has not."""
+def _against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (id, pivot, shared shingles, the pivot's shingles): a bitmap of the pivot's shingles that id has, their
+    number, and how many others of the shared ones there are."""
     for batch in batches:
-        both, other = [], []
+        maps, p, t = [], [], []
         for x, y in zip(batch.column(2), batch.column(3)):
             x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-            both.append(int(np.isin(x, y, assume_unique=True).sum()))
-            other.append(len(x) - both[-1])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, pa.int64()), pa.array(other, pa.int64())], ["id", "pivot", "p", "t"])
+            has = np.isin(y, x, assume_unique=True)
+            maps.append(np.packbits(np.pad(has, (0, -len(has) % 64))).view(np.int64))
+            p.append(int(has.sum()))
+            t.append(len(x) - p[-1])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(maps, pa.list_(pa.int64())), pa.array(p, pa.int64()), pa.array(t, pa.int64())], ["id", "pivot", "bits", "p", "t"])
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,38 +209,44 @@ def _small_pairs(members: DataFrame, percent: int) -> DataFrame:
     return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & _near(percent)).select(_pick())
 
 
-def _star_pairs(members: DataFrame, percent: int, seed: int) -> DataFrame:
-    """Each member of a large bucket against one other: the bucket's pivot, or its neighbour in a seeded order."""
-    large = members.where(F.col("size") > SMALL)
-    if seed:
-        other = F.expr(f"lag(struct(id, n, component)) over (partition by key order by xxhash64(id, key, {seed}), id)")
-        large = large.withColumn("y", other)
-    else:
-        pivots = members.select(F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("component").alias("pc")).dropDuplicates(["pivot"])
-        large = large.join(pivots, "pivot").withColumn("y", F.struct(F.col("pivot").alias("id"), F.col("pn").alias("n"), F.col("pc").alias("component")))
+def _star_pairs(members: DataFrame, percent: int, pivot: str) -> DataFrame:
+    """Each member of a large bucket against the bucket's pivot."""
+    pivots = members.select(F.col("id").alias(pivot), F.struct("id", "n", "component").alias("y")).dropDuplicates([pivot])
+    large = members.where(F.col("size") > SMALL).join(pivots, pivot)
     return large.select(F.struct("id", "n", "component").alias("x"), "y").where(_near(percent)).select(_pick())
 
 
+def _mixed(members: DataFrame) -> DataFrame:
+    """Members of buckets that hold two components."""
+    span = members.withColumn("lo", F.expr("min(component) over (partition by key)")).withColumn("hi", F.expr("max(component) over (partition by key)"))
+    return span.where("lo < hi").drop("lo", "hi")
+
+
 def _rest_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs across components of large buckets, but for members whose reach proves that they have no link there."""
+    """The pairs across components of large buckets that may have a link by what they share with the two pivots."""
     ids = members.select(F.col("id").alias("doc_id")).distinct()
     hashes = sets.join(ids, "doc_id", "left_semi").select("doc_id", "shingles").mapInArrow(_hashes, "id long, h long")
-    often = hashes.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("k > 1").select("h")
+    often = hashes.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
     shared = hashes.join(often, "h").groupBy("id").agg(F.collect_list("h").alias("hs"))
     shared = shared.select("id", "hs").mapInArrow(_packed, "id long, shared binary")
-    pivots = members.select("id", "pivot").distinct()
+    pivots = members.select("id", F.explode(F.array_distinct(F.array("pivot", "pivot2"))).alias("pivot")).distinct()
     own = pivots.join(shared, "id").join(sets.select(F.col("doc_id").alias("pivot"), "shingles"), "pivot").select("id", "pivot", "shared", "shingles")
-    reach = own.mapInArrow(_common, "id long, pivot long, p long, t long")
-    known = members.join(reach, ["id", "pivot"]).withColumn("least", F.expr("min(n) over (partition by key)"))
+    against = table(own.mapInArrow(_against, "id long, pivot long, bits array<long>, p long, t long"), "against")
+    known = members.select("key", "id", "n", "component", "pivot", "pivot2")
+    for i, pivot in (("1", "pivot"), ("2", "pivot2")):
+        known = known.join(against.select("id", F.col("pivot").alias(pivot), F.col("bits").alias(f"bits{i}"), F.col("p").alias(f"p{i}"), F.col("t").alias(f"t{i}")), ["id", pivot])
 
     def enough(common: str, sizes: str) -> str:  # 100 * i >= percent * (sizes - i)
         return f"{100 + percent} * ({common}) >= {percent} * ({sizes})"
 
-    able = known.where(enough("p + t", "n + least")).withColumn("lo", F.expr("min(component) over (partition by key)")).withColumn("hi", F.expr("max(component) over (partition by key)"))
-    able = table(able.where("lo < hi").select("key", "id", "n", "component", "p", "t"), "able")
+    known = known.withColumn("least", F.expr("min(n) over (partition by key)"))
+    able = table(_mixed(known.where(f"{enough('p1 + t1', 'n + least')} and {enough('p2 + t2', 'n + least')}")), "able")
     x, y = able.alias("x"), able.alias("y")
-    reached = F.expr(enough("least(x.p, y.p) + least(x.t, y.t)", "x.n + y.n"))
-    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & _near(percent) & reached).select(_pick())
+    allowed = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & _near(percent)
+    for i in "12":
+        both = f"aggregate(zip_with(x.bits{i}, y.bits{i}, (a, b) -> bit_count(a & b)), 0, (s, c) -> s + c)"
+        allowed = allowed & F.expr(enough(f"least(x.p{i}, y.p{i}) + least(x.t{i}, y.t{i})", "x.n + y.n")) & F.expr(enough(f"{both} + least(x.t{i}, y.t{i})", "x.n + y.n"))
+    return x.join(y, allowed).select(_pick())
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +271,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     sized = table(keyed.withColumn("size", F.expr("count(1) over (partition by key)")).where("size > 1"), "sized")
     central = sized.where(F.col("size") > SMALL).groupBy("id").agg(F.sum("size").alias("met"))
     ranked = sized.join(central, "id", "left").withColumn("pivot", F.expr("max_by(id, struct(met, -id)) over (partition by key)"))
-    buckets = table(ranked.select("key", "id", "n", "size", "pivot"), "buckets")
+    buckets = table(ranked.select("key", "id", "n", "size", "met", "pivot"), "buckets")
     ids = table(buckets.select(F.col("id").alias("doc_id")).distinct(), "members")
     sigs = table(semi(heads.select("doc_id", "sig"), ids, "doc_id"), "signatures")
     sets = table(semi(texts, ids, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_sets(words), "doc_id long, shingles binary"), "sets")
@@ -280,14 +289,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     for turn in range(3):
         members = buckets.join(labels, "id")
         if turn:  # only large buckets that still hold two components; the small ones are done
-            members = members.where(F.col("size") > SMALL).withColumn("lo", F.expr("min(component) over (partition by key)")).withColumn("hi", F.expr("max(component) over (partition by key)"))
-            members = table(members.where("lo < hi"), "mixed")
+            members = _mixed(members.where(F.col("size") > SMALL))
+            main = F.expr("max_by(component, id = pivot) over (partition by key)")
+            left = members.withColumn("main", main)
+            members = table(left.withColumn("pivot2", F.expr("max_by(id, struct(component != main, met, -id)) over (partition by key)")).drop("main"), "mixed")
             if not members.limit(1).count():
                 break
         if turn == 0:
-            pairs = _small_pairs(members, percent).union(_star_pairs(members, percent, 0))
+            pairs = _small_pairs(members, percent).union(_star_pairs(members, percent, "pivot"))
         elif turn == 1:
-            pairs = _star_pairs(members, percent, 1)
+            pairs = _star_pairs(members, percent, "pivot2")
         else:
             pairs = _rest_pairs(members, sets, percent)
         pairs = pairs.distinct()
@@ -295,23 +306,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = table(pairs, "pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        scored = table(with_both(pairs, sigs, "sig").select("a", "b", "x", "y").mapInArrow(_prune(percent / 100, miss), "a long, b long, m long"), "scored")
-        for first in (True, False):
-            if first:  # each document's most similar partner; most components close with that
-                best = scored.select(F.col("a").alias("id"), "m", "a", "b").union(scored.select("b", "m", "a", "b"))
-                todo = best.groupBy("id").agg(F.expr("max_by(struct(a, b), struct(m, -a, -b))").alias("p")).select("p.a", "p.b").distinct()
-                done = todo = table(todo, "todo")
-            else:
-                todo = scored.join(done, ["a", "b"], "left_anti").select("a", "b")
-                for side in ("a", "b"):
-                    todo = todo.join(labels.select(F.col("id").alias(side), F.col("component").alias(f"c{side}")), side)
-                todo = table(todo.where("ca != cb").select("a", "b"), "todo")
-                if not todo.limit(1).count():
-                    break
-            found = table(confirm(todo), "links")
-            links = found if links is None else links.union(found)
-            closed = components(links)
-            labels = table(ids.select(F.col("doc_id").alias("id")).join(closed, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "labels")
+        scored = with_both(pairs, sigs, "sig").select("a", "b", "x", "y").mapInArrow(_prune(percent / 100, miss), "a long, b long, m long")
+        found = table(confirm(scored.select("a", "b")), "links")
+        links = found if links is None else links.union(found)
+        labels = table(ids.select(F.col("doc_id").alias("id")).join(components(links), "id", "left").select("id", F.coalesce("component", "id").alias("component")), "labels")
     merged = equal.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("found"))
     out = signed.select("doc_id", "n_shingles", "f1", "f2").join(merged, ["f1", "f2", "n_shingles"], "left")
     component = F.coalesce("found", "doc_id")
