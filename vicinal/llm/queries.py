@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, language_id, quality_rules, secrets, token_counts, toxicity
 from ..sources.shared import folder
-from .common import read
+from .common import read, semi
 from .line_dedup import dedup_lines
 from .mixing import mix
 from .near_dups import near_duplicates
@@ -36,9 +36,9 @@ def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = token_counts.Ledger(spark, f"{folder(spark)}/vicinal/ledger-{uuid.uuid4().hex}", token_counts.version(token_counts.FOLDER, token_counts.VOCABULARY))
     marked = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
     come = docs.withColumn("op", F.lit("insert"))
-    gone = docs.join(marked.where("q = 0").select("doc_id"), "doc_id", "left_semi").withColumn("op", F.lit("delete")).withColumn("text", F.lit(None).cast("string"))
+    gone = semi(docs.select("doc_id", "source", "lang"), marked.where("q = 0").select("doc_id"), "doc_id").withColumns({"op": F.lit("delete"), "text": F.lit(None).cast("string")})
     lines = F.array_join(F.array_distinct(F.split("text", "\n", -1)), "\n")
-    new = docs.join(marked.where("q = 1 and t = 1").select("doc_id"), "doc_id", "left_semi").withColumn("op", F.lit("revise")).withColumn("text", lines)
+    new = semi(docs, marked.where("q = 1 and t = 1").select("doc_id"), "doc_id").withColumns({"op": F.lit("revise"), "text": lines})
     for batch, changes in (("1-come", come), ("2-gone", gone), ("1-come", come), ("3-revised", new), ("2-gone", gone)):
         ledger.apply(batch, token_counts.count_tokens(changes))
     return ledger.totals()
