@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and a randomness test battery over long tokens with false-discovery control.
 
 Base spans come from three patterns (kinds assign, access, hex). The battery looks at every other token of 20 or more
-characters of a base-64 alphabet. The token's encoding (decimal, hex, base 32, base 64) gives its alphabet; against the
+characters of a base-64 alphabet. The token's encoding (hex, base 32, base 64) gives its alphabet, and numbers are left out; against the
 null hypothesis "ordinary text" three statistics are taken, each of which random characters push one way:
 
 * chi-squared uniformity over the alphabet: ordinary text repeats characters (index of coincidence ``COINCIDENCE``), so
@@ -35,8 +35,9 @@ HEX = r"[0-9a-f]{24,}"
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ["assign", "access", "hex", "random"]
 SPAN = "struct<b: int, kind: int, e: int>"
+#: Numbers are never weighed: their digits look random, but are ordinary text.
+NUMBER = "^[0-9]+$"
 ALPHABETS = [
-    ("^[0-9]+=*$", "0123456789"),
     ("^([0-9a-f]+|[0-9A-F]+)=*$", "0123456789abcdef"),
     ("^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
@@ -105,7 +106,7 @@ def _battery(t: Column, alphabet: str) -> Column:
         half = -sum(F.log(F.greatest(p, F.lit(1e-12 if i < 2 else 0.05))) for i, p in enumerate((p1, p2, p3)))
         return F.log10(F.exp(-half) * (1 + half + half * half / 2))
 
-    return F.when(F.length(t) >= 20, let(codes, combined)).otherwise(F.lit(0.0))
+    return F.when((F.length(t) >= 20) & ~t.rlike(NUMBER), let(codes, combined)).otherwise(F.lit(0.0))
 
 
 def scan(docs: DataFrame, fdr: float = 0.001) -> DataFrame:
