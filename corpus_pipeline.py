@@ -52,9 +52,12 @@ def clean_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sample by calibrated probabilities, with its probabilities."""
+    """The sample by calibrated probabilities, with them as ``probability`` (under a free name if that is taken)."""
     drawn = mix(_packed(docs), "carried").where("sampled")
-    return drawn.select(*[F.col("carried")[c].alias(c) for c in docs.columns], "probability")
+    name = "probability"
+    while name in docs.columns:
+        name += "_"
+    return drawn.select(*[F.col("carried")[c].alias(c) for c in docs.columns], F.col("probability").alias(name))
 
 
 STAGES = [("language", language), ("line_dedup", line_dedup), ("near_dups", near_dups), ("clean_benchmark", clean_benchmark), ("mixing", mixing)]
