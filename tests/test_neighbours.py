@@ -67,6 +67,11 @@ def test_approximate_neighbours_recall(spark):
     assert Q.recall(K.knn_approximate(p, 10), K.knn_exact(p, 10)) >= 0.9
 
 
+def test_neighbours_by_codes(spark):
+    p = P.points(spark, "/root/testdata/sf0.001").where("id < 200")
+    assert Q.recall(K.knn(p, 10, "tq8"), K.knn(p, 10)) >= 0.95
+
+
 def test_gpu_and_unknown_methods_are_refused(make_points):
     with pytest.raises(NotImplementedError):
         K.knn(make_points(FIVE), 2, "gpu")

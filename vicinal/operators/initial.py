@@ -14,8 +14,9 @@ from ..functions.kernels import by_id, normal_by_id
 from .knn import matrix
 from .moments import moments
 
-#: Largest graph whose Laplacian is solved densely on the driver.
+#: Largest graph whose Laplacian is solved on the driver, and the largest one solved densely.
 SPECTRAL_NODES = 2000
+DENSE_NODES, KRYLOV_STEPS = 300, 60
 NOISE, RADIUS = 1e-4, 10.0
 COORDINATES = "id long, y array<double>"
 
@@ -109,17 +110,46 @@ def rescaled(embedding: DataFrame) -> DataFrame:
     return embedding.select("id", F.transform("y", lambda v: v * F.lit(RADIUS / top if top > 0 else 1.0)).alias("y"))
 
 
+def smallest(src: np.ndarray, dst: np.ndarray, w: np.ndarray, n: int, k: int, seed: int = 42) -> np.ndarray:
+    """Eigenvectors of the k smallest eigenvalues of the normalized Laplacian.
+
+    Small graphs are solved densely. Others by a block Krylov space of 2I - L with full orthogonalization, whose largest
+    Ritz vectors these are; the block is wider than k, so repeated eigenvalues are found as often as they occur.
+    """
+    d = np.bincount(src, w, n)
+    d = 1 / np.sqrt(np.where(d < 1e-10, 1.0, d))
+    v = d[src] * w * d[dst]
+    if n <= DENSE_NODES:
+        a = np.eye(n)
+        np.subtract.at(a, (src, dst), v)
+        return np.linalg.eigh(a)[1][:, :k]
+    width = k + 3
+    block = np.linalg.qr(np.random.Generator(np.random.Philox(seed)).normal(size=(n, width)))[0]
+    space, images = [], []
+    for _ in range(KRYLOV_STEPS):
+        image = block + np.stack([np.bincount(src, v * block[dst, c], n) for c in range(width)], axis=1)
+        space.append(block)
+        images.append(image)
+        basis = np.concatenate(space, axis=1)
+        rest = image
+        for _ in range(2):
+            rest = rest - basis @ (basis.T @ rest)
+        block, r = np.linalg.qr(rest)
+        if np.abs(np.diag(r)).min() < 1e-12:
+            break
+    basis, images = np.concatenate(space, axis=1), np.concatenate(images, axis=1)
+    _, ritz = np.linalg.eigh((lambda h: (h + h.T) / 2)(basis.T @ images))
+    return (basis @ ritz[:, ::-1])[:, :k]
+
+
 def spectral_init(graph: DataFrame, ids: DataFrame, m: int = 2, seed: int = 42) -> DataFrame:
     """Eigenvectors 2 to m + 1 of the normalized Laplacian, for at most SPECTRAL_NODES ids; else random coordinates."""
     at = np.array(sorted(r[0] for r in ids.select("id").limit(SPECTRAL_NODES + 1).collect()), np.int64)
     if len(at) > SPECTRAL_NODES:
         return random_init(ids, m, seed)
     edges = graph.select("src", "dst", "weight").toArrow()
-    a = np.zeros((len(at), len(at)))
-    a[np.searchsorted(at, edges["src"].to_numpy()), np.searchsorted(at, edges["dst"].to_numpy())] = edges["weight"].to_numpy()
-    d = a.sum(axis=1)
-    d = 1 / np.sqrt(np.where(d < 1e-10, 1.0, d))
-    _, vectors = np.linalg.eigh(np.eye(len(at)) - d[:, None] * a * d[None, :])
+    src, dst, w = np.searchsorted(at, edges["src"].to_numpy()), np.searchsorted(at, edges["dst"].to_numpy()), edges["weight"].to_numpy()
+    vectors = smallest(src, dst, w, len(at), m + 1, seed)
     y = signed(vectors[:, 1 : m + 1])
     y = np.pad(y, ((0, 0), (0, m - y.shape[1]))) + NOISE * normal_by_id(at, seed, 4, m)
     top = np.abs(y).max(initial=0.0)

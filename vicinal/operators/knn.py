@@ -194,17 +194,25 @@ def knn_approximate(points: DataFrame, k: int, cells: int | None = None, probes:
     return ranked(found.distinct(), k)
 
 
-METHODS = ("auto", "exact", "brute_force", "kd_tree", "approximate", "hnsw", "gpu")
+METHODS = ("auto", "exact", "brute_force", "kd_tree", "approximate", "hnsw", "tq4", "tq8", "tq12", "gpu")
 
 
 def knn(points: DataFrame, k: int, method: str = "auto", seed: int = 42) -> DataFrame:
-    """k is cut to n - 1, so no neighbour is ever made up. Index names of other engines are accepted for what they give."""
+    """k is cut to n - 1, so no neighbour is ever made up. Index names of other engines are accepted for what they give.
+
+    ``tq4``, ``tq8`` and ``tq12`` find candidates on codes of so many bits and rerank them exactly.
+    """
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
     if method == "gpu":
         raise NotImplementedError("this engine has no GPU path")
-    n = points.count()
+    r = points.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("d")).collect()[0]
+    n = r.n
     k = max(0, min(k, n - 1))
+    if method.startswith("tq") and k:
+        from .codec import Codec, knn_reranked  # it builds on this module
+
+        return knn_reranked(points, Codec(int(method[2:]), r.d, seed), k)
     if method in ("approximate", "hnsw") or method == "auto" and n > EXACT_POINTS:
         return knn_approximate(points, k, seed=seed)
     return knn_exact(points, k)

@@ -42,37 +42,44 @@ def repulsion(d2: np.ndarray, a: float, b: float, strength: float) -> np.ndarray
 
 def optimize(y: np.ndarray, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, epochs: int, a: float, b: float, rate: float = 1.0, negative_rate: float = 5.0, strength: float = 1.0, seed: int = 42) -> np.ndarray:
     """Coordinates after all epochs, centred. An edge fires every max weight / weight epochs and moves both its ends; each
-    firing also draws other points, which push its head away."""
-    y = y.astype(np.float64).copy()
+    firing also draws other points, which push its head away. Columns are single-precision arrays of their own."""
     n = len(y)
     if not len(src) or n < 2:
         return y - y.mean(axis=0) if n else y
+    columns = [np.ascontiguousarray(y[:, c], dtype=np.float32) for c in range(y.shape[1])]
     eps = weight.max() / weight
     neg = eps / negative_rate if negative_rate > 0 else np.full(len(eps), np.inf)
     due, due_neg = eps.copy(), neg.copy()
     rng = np.random.Generator(np.random.Philox(seed))
+
+    def apart(i: np.ndarray, j: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        diff = [x[i] - x[j] for x in columns]
+        return diff, sum(d * d for d in diff)
+
     for t in range(epochs):
-        alpha = rate * (1 - t / epochs)
+        alpha = np.float32(rate * (1 - t / epochs))
         on = np.flatnonzero(due <= t)
-        if not len(on):
-            continue
-        for part in np.array_split(rng.permutation(on), BATCHES):
+        for k in range(BATCHES):
+            part = on[k::BATCHES]
             if not len(part):
                 continue
             i, j = src[part], dst[part]
-            diff = y[i] - y[j]
-            g = np.clip(attraction((diff * diff).sum(axis=1), a, b)[:, None] * diff, -CLAMP, CLAMP) * alpha
+            pull, d2 = apart(i, j)
+            g = alpha * attraction(d2, a, b)
             times = np.where(t > due_neg[part], (t - due_neg[part]) / neg[part], 0).astype(np.int64)
             head = np.repeat(i, times)
             other = rng.integers(0, n, len(head))
-            away = y[head] - y[other]
-            r = np.clip(repulsion((away * away).sum(axis=1), a, b, strength)[:, None] * away, -CLAMP, CLAMP) * alpha
+            push, d2 = apart(head, other)
+            r = alpha * repulsion(d2, a, b, strength)
             r[other == head] = 0
-            for c in range(y.shape[1]):
-                y[:, c] += np.bincount(i, g[:, c], n) - np.bincount(j, g[:, c], n) + np.bincount(head, r[:, c], n)
+            most = np.float32(CLAMP) * alpha
+            for x, p, q in zip(columns, pull, push):
+                p, q = np.clip(g * p, -most, most), np.clip(r * q, -most, most)
+                x += (np.bincount(i, p, n) - np.bincount(j, p, n) + np.bincount(head, q, n)).astype(np.float32)
             due_neg[part] += times * np.where(np.isfinite(neg[part]), neg[part], 0)
         due[on] += eps[on]
-    return y - y.mean(axis=0)
+    out = np.stack(columns, axis=1).astype(np.float64)
+    return out - out.mean(axis=0)
 
 
 def layout(embedding: DataFrame, graph: DataFrame, epochs: int, min_dist: float = 0.1, spread: float = 1.0, rate: float = 1.0, negative_rate: float = 5.0, strength: float = 1.0, seed: int = 42, local_edges: int = LOCAL_EDGES) -> DataFrame:

@@ -65,6 +65,11 @@ def recall(found: DataFrame, exact: DataFrame) -> float:
     return hit / total if total else 1.0
 
 
+def summary(df: DataFrame) -> DataFrame:
+    """Count, mean, deviation, extremes and quartiles of each column."""
+    return df.summary()
+
+
 def rank_methods(scores: DataFrame, timings: DataFrame | None = None) -> DataFrame:
     """``scores(method, ratio)`` from best to worst, with each method's time where there is one."""
     out = scores.join(timings.dropDuplicates(["method"]), "method", "left") if timings is not None else scores

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,8 @@ from ..operators import quality as Q
 from ..operators import sampling as S
 from ..sources import points as P
 from ..sources import triples as T
-from ..sources.shared import settled
+from ..sources.shared import folder, settled
+from ..streaming.transform import drain, transform_stream
 from .estimator import Tsne, Umap
 
 NEIGHBOURS = 15
@@ -266,6 +268,16 @@ def umap_transform(spark, d):
     return flat(Umap(n_epochs=200).fit(p.where("id % 2 = 1"))[1].transform(p.where("id % 2 = 0")))
 
 
+def umap_stream(spark, d):
+    """Even ids as a stream through a model of the odd ones."""
+    p = points(spark, d)
+    model = Umap(n_epochs=200).fit(p.where("id % 2 = 1"))[1]
+    at = f"{folder(spark)}/vicinal/stream-{uuid.uuid4().hex}"
+    p.where("id % 2 = 0").write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(p.schema).parquet(f"{at}/in")
+    return flat(drain(transform_stream(model, stream), at))
+
+
 def umap_with_knn(spark, d):
     return flat(Umap(n_epochs=200).fit_transform_with_knn(points(spark, d), edges(spark, d)))
 
@@ -320,6 +332,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     knn_exact, knn_expression, knn_external, knn_rerank, knn_label_purity, smooth_knn, smooth_knn_nearest, fuzzy_graph, graph_degree, normalized_laplacian, laplacian,
     edge_schedule, edge_firings, tsne_affinity, column_means, covariance, row_norms, asinh_points, sample_train, sample_rest, sample_scatter, head_slice, random_pairs, equal_width_bins,
     triples_export, triples_pivot, transform_init, separation_exact, separation_sampled, group_stats, group_counts, nn_coherence, conditional_labels, label_concat,
-    quantize_scalar, synthetic_ramp, pca_reduce, pca_init, spectral_init, random_init, umap, umap_train_size, umap_transform, umap_with_knn, umap_pca, tsne, tsne_compressed,
+    quantize_scalar, synthetic_ramp, pca_reduce, pca_init, spectral_init, random_init, umap, umap_train_size, umap_transform, umap_stream, umap_with_knn, umap_pca, tsne, tsne_compressed,
     codec_encode, codec_decode, knn_compressed, knn_codes_reranked, fuzzy_compressed, knn_approx,
 )} | {f"umap_compressed_{b}": _compressed(b) for b in (4, 8, 12)}

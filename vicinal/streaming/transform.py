@@ -15,6 +15,13 @@ def transform_stream(model: UmapModel, points: DataFrame) -> DataFrame:
     return model.transform(points)
 
 
+def drain(embedding: DataFrame, folder: str) -> DataFrame:
+    """Writes all that a streaming ``embedding`` has now as Parquet under ``folder``, and reads it back."""
+    run = embedding.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return embedding.sparkSession.read.schema(embedding.schema).parquet(f"{folder}/out")
+
+
 def windowed_ranges(embedding: DataFrame, time: str, width: str = "10 minutes", late: str = "1 hour") -> DataFrame:
     """Range and number of the first two coordinates by time window, for drift watching; late rows up to ``late`` count."""
     window = F.window(time, width)
