@@ -5,9 +5,9 @@ thresholds, P(grade <= k) = logistic(theta_k - s). Weights and thresholds are tr
 in numpy on the driver, over a bounded sample of labelled texts (``sample`` rows). The expected severity is the sum of
 P(grade > k).
 
-Grades come from a ``severity`` column of the labels if there is one. Otherwise a toxic text's grade is 1 if no indicator
-occurs twice in it, 2 if one occurs two or three times, and 3 if more, where indicators are the words (and beginnings)
-whose presence raises the odds of the toxic label most; other texts have grade 0.
+Grades come from a ``severity`` column of the labels if there is one. Otherwise toxic texts have grades 1 to 3, by thirds
+of how many distinct indicators they hold, where indicators are the words (and beginnings) whose presence raises the odds
+of the toxic label most; other texts have grade 0.
 
 Defined results: a null text, or one without words, has severity 0 and grade 0. Without labels of both kinds everything
 has severity 0. A document labelled more than once has its highest grade. Texts are used whole. Rows are independent:
@@ -16,6 +16,7 @@ repeated rows get equal results, and an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,13 +31,14 @@ BITS = 18
 #: Besides whole words, features are the words' first so many bytes.
 HEADS = (4, 5, 6, 7)
 #: A feature is used if this many training texts have it, and its presence depends on the label (chi-squared).
-LEAST_TEXTS, LEAST_CHI2, MOST = 8, 24.0, 4096
+LEAST_TEXTS, LEAST_CHI2, MOST = 10, 60.0, 4096
 #: Training: texts in a step, and least number of steps.
-BATCH, STEPS = 64, 4000
+BATCH, STEPS = 64, 8000
 #: Labelled texts that training may use.
-SAMPLE = 6000
-#: The cut-off lets this share of the clean training texts through at most, unless it would be outside 0.05 to 0.5.
-FALSE_ALARMS = 0.002
+SAMPLE = 10_000
+#: The cut-off lets this share of clean texts, set aside from training, through at most; it stays within 0.05 to 0.5. Of
+#: the sampled texts every so many is set aside.
+FALSE_ALARMS, ASIDE = 0.004, 4
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LETTER = np.zeros(256, bool)
@@ -96,17 +98,21 @@ def telling(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
 
 
 def graded(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """Labels 0 and 1 made into grades by occurrences of indicator words."""
+    """Labels 0 and 1 made into grades 0 to 3: toxic texts by thirds of their number of distinct indicators."""
     known = indicators(rows)
-    return [(y and 1 + int(np.searchsorted([2, 4], c[known[b]].max(initial=0), "right")), b, c) for y, b, c in rows]
+    found = [int(known[b].sum()) for y, b, _ in rows if y]
+    cuts = np.quantile(found, [1 / 3, 2 / 3]) if found else []
+    return [(y and 1 + int(np.searchsorted(cuts, known[b].sum(), "left")), b, c) for y, b, c in rows]
 
 
-def train(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 40, rate: float = 0.5, l1: float = 1e-5, seed: int = 5) -> Model:
+def train(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 40, rate: float = 1.5, l1: float = 1e-6, seed: int = 5) -> Model:
     """``rows``: grade, buckets and their counts."""
     top = max((r[0] for r in rows), default=0)
     w = np.zeros(1 << BITS)
     if not top or all(r[0] for r in rows):
         return Model(w, np.zeros(0))
+    check = rows[::ASIDE] if len(rows) >= 40 * ASIDE else rows
+    rows = [r for i, r in enumerate(rows) if i % ASIDE] if check is not rows else rows
     theta = np.linspace(1.0, 3.0, top)
     used = telling(rows)
     x = np.zeros((len(rows), len(used)), np.float32)
@@ -139,8 +145,9 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 40, rate
             theta = np.maximum.accumulate(theta - rate * d / np.sqrt(gt))
     w[used] = v
     model = Model(w, theta)
-    clean = np.sort(1 - cdf(theta[0] - x[y == 0] @ v))[::-1]
-    model.cutoff = float(np.clip(clean[int(FALSE_ALARMS * len(clean))] + 1e-9, 0.05, 0.5))
+    clean = np.sort([model.grade(b, c)[2] for y, b, c in check if not y])[::-1]
+    if len(clean):
+        model.cutoff = float(np.clip(clean[int(FALSE_ALARMS * len(clean))] + 1e-9, 0.05, 0.5))
     return model
 
 
@@ -163,7 +170,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * sample rows
     got = texts.select("y", "text").mapInArrow(run, "y int, b array<int>, n array<int>").toArrow()
     rows = [(y, b.values.to_numpy(), n.values.to_numpy()) for y, b, n in zip(got["y"].to_pylist(), got["b"], got["n"])]
-    rows = [r for _, r in sorted({(y, b.tobytes(), n.tobytes()): (y, b, n) for y, b, n in rows}.items())]  # copies once, in a fixed order
+    once = {(y, b.tobytes(), n.tobytes()): (y, b, n) for y, b, n in rows}  # copies once, in an order of their own
+    rows = [once[k] for k in sorted(once, key=lambda k: hashlib.md5(k[1] + k[2] + bytes([k[0]])).digest())]
     return train(rows if given else graded(rows))
 
 
