@@ -1,14 +1,14 @@
-"""Benchmark decontamination: a broadcast set of benchmark word windows, probed at every window of every document.
+"""Benchmark decontamination: a broadcast hash set of benchmark word windows, probed at every window of every document.
 
-The windows of the benchmark (13 words, or a whole shorter item) become literal hash sets of the plan, which Spark ships
-to each executor once. Their number is counted first: beyond ``IN_PLAN`` windows the same windows are joined instead.
-A document window is probed by its 64-bit hash, then verified as a string, so a hit is always a true one. The items of a
-hit come from an integer code per window, itself spelled by one hash set for each bit, so hits are never exploded into
-rows and a passage that a third of all documents share costs no more than a rare one.
+The benchmark's windows (13 words, or a whole shorter item) are hashed to 64 bits. Up to ``IN_PLAN`` hashes become a literal
+set of the plan, which Spark ships to each executor once, and each document is scanned in place against it: only windows
+that are in the set become rows. With more windows every document window becomes a row of a join on the hash, broadcast or
+shuffled as Spark sees fit. Either way the words of what was found are then joined with the benchmark's, so a hit is always
+a true one.
 
 Defined results: a null text, or one without words, has no words and no hits. An item without words has no window.
-Items that share a null id count as no item, though their windows hit. Rows are independent, so repeated rows, ties and
-repeated ids each get their own result; empty tables give empty or clean results.
+Items that share a null id count as no item, though their windows hit. Repeated rows, ties and repeated ids each get
+their own row's result; empty tables give empty or clean results.
 """
 
 from __future__ import annotations
@@ -16,10 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ITEM_WORD, UPPER, covered, let, lower_ascii
+from .common import ITEM_WORD, covered, let, lower_ascii, table
 
-#: Windows up to this number are part of the plan (some 100 bytes each); more are joined.
+#: Hashes (8 bytes each) up to this number are part of the plan.
 IN_PLAN = 50_000
+#: A result of this many hit rows is broadcast back to the texts; a larger one is shuffled.
+BROADCAST_HITS = 200_000
 #: As ITEM_WORD, for text whose A-Z are still there.
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -37,68 +39,55 @@ def benchmark_windows(benchmark: DataFrame, n: int) -> DataFrame:
     return grams.groupBy(F.array_join("g", " ").alias("gram"), "size", F.xxhash64("g").alias("hash")).agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-def _quoted(x: str) -> str:
-    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def _row_key() -> Column:
+    """Equal rows have equal keys, and equal results."""
+    return F.struct("doc_id", F.xxhash64("text").alias("h"))
 
 
-def _in_plan(docs: DataFrame, windows: list) -> DataFrame:
-    """docs(..., w) with hits(b, e) and items, from literal sets."""
-    groups = sorted({tuple(r.items) for r in windows})
-    code = {g: i + 1 for i, g in enumerate(groups)}
-    seen: dict[int, int] = {}
-    for r in windows:
-        seen[r.hash] = seen.get(r.hash, 0) + 1
-    # two windows of one hash would share a code: such (never yet seen) windows are coded by their string
-    clash = {h for h, k in seen.items() if k > 1}
+NONE = "cast(array() as array<struct<b: int, e: int, gram: string>>)"
+
+
+def _probe(sizes: dict[int, list[int]]) -> str:
+    """SQL over ``w``: struct(b, e, gram) of the windows whose hash is in the literal set of their size."""
     parts = []
-    for size in sorted({r.size for r in windows}):
-        own = [r for r in windows if r.size == size]
-        gram = f"array_join(slice(w, i, {size}), ' ')"
-        hashes = ", ".join(f"{r.hash}L" if r.hash > -(2**63) else "-9223372036854775807L - 1L" for r in own)
-        grams = ", ".join(_quoted(r.gram) for r in own)
-        found = f"filter(if(size(w) < {size}, array(), sequence(1, size(w) - {size - 1})), i -> xxhash64(slice(w, i, {size})) in ({hashes}) and {gram} in ({grams}))"
-        bits = ["0"]
-        for j in range(len(groups).bit_length()):
-            plain = [f"{r.hash}L" for r in own if code[tuple(r.items)] >> j & 1 and r.hash not in clash and r.hash > -(2**63)]
-            spelled = [_quoted(r.gram) for r in own if code[tuple(r.items)] >> j & 1 and (r.hash in clash or r.hash == -(2**63))]
-            if plain:
-                bits.append(f"if(xxhash64(slice(w, i, {size})) in ({', '.join(plain)}), {1 << j}, 0)")
-            if spelled:
-                bits.append(f"if({gram} in ({', '.join(spelled)}), {1 << j}, 0)")
-        parts.append(f"transform({found}, i -> struct(i - 1 as b, i - 1 + {size} as e, {' + '.join(bits)} as code))")
-    none = "cast(array() as array<struct<b: int, e: int, code: int>>)"
-    hits = f"concat({', '.join(parts)})" if parts else none
-    probe = F.expr(f"transform(array(w), w -> sort_array({hits}))[0]")
-    items = "array(" + ", ".join(f"array({', '.join(_quoted(x) for x in g)})" if g else "cast(array() as array<string>)" for g in [(), *groups]) + ")"
-    out = docs.withColumn("found", probe)
-    codes = "array_distinct(transform(found, h -> h.code))"
-    return out.withColumn("items", F.expr(f"sort_array(array_distinct(flatten(transform({codes}, c -> {items}[c]))))"))
-
-
-def _joined(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """The same columns by a shuffled join on the windows, for benchmarks of any size."""
-    sizes = sorted(r.size for r in windows.select("size").distinct().collect())  # at most n values
-    probes = "concat(" + ", ".join(f"transform(if(size(w) < {k}, array(), sequence(1, size(w) - {k - 1})), i -> struct(i - 1 as b, i - 1 + {k} as e, array_join(slice(w, i, {k}), ' ') as gram))" for k in sizes) + ")"
-    keyed = docs.withColumn("row", F.xxhash64(*[F.col(c) for c in docs.columns]))
-    rows = keyed.select("row", F.explode(F.expr(f"transform(array(w), w -> {probes})[0]")).alias("p")).select("row", "p.*")
-    found = rows.join(windows.select("gram", F.col("items").alias("of")), "gram").select("row", "b", "e", "of").distinct()
-    per = found.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("b", "e", F.lit(0).alias("code")))).alias("found"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("of")))).alias("items"))
-    out = keyed.join(per, "row", "left").drop("row")
-    return out.withColumn("found", F.coalesce("found", F.expr("cast(array() as array<struct<b: int, e: int, code: int>>)"))).withColumn("items", F.coalesce("items", F.expr("cast(array() as array<string>)")))
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, *also: str, n: int = 13, in_plan: int = IN_PLAN) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: doc_id, ``also``, n_words, n_hit, items, spans, contaminated.
+    for size, hashes in sorted(sizes.items()):
+        known = ", ".join(f"{h}L" if h > -(2**63) else "(-9223372036854775807L - 1L)" for h in hashes)
+        found = f"filter(if(size(w) < {size}, array(), sequence(1, size(w) - {size - 1})), i -> xxhash64(slice(w, i, {size})) in ({known}))"
+        parts.append(f"transform({found}, i -> struct(i - 1 as b, i - 1 + {size} as e, array_join(slice(w, i, {size}), ' ') as gram))")
+    return f"concat({', '.join(parts)})" if parts else NONE
+
+
+def _all_windows(sizes: list[int]) -> str:
+    parts = [f"transform(if(size(w) < {k}, array(), sequence(1, size(w) - {k - 1})), i -> struct(i - 1 as b, i - 1 + {k} as e, array_join(slice(w, i, {k}), ' ') as gram))" for k in sizes]
+    return f"concat({', '.join(parts)})" if parts else NONE
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, in_plan: int = IN_PLAN) -> DataFrame:
+    """One row per row of ``docs(doc_id, text)``: key, doc_id, n_words, n_hit, items, spans, contaminated.
 
     ``spans`` are the maximal runs of hit words as half-open word positions; ``items`` the ids with a window here.
-    contaminated: some word is hit, and at least one in twenty.
+    contaminated: some word is hit, and at least one in twenty. ``key`` is the row's key.
     """
-    windows = benchmark_windows(benchmark, n)
-    few = windows.limit(in_plan + 1).collect()
-    base = docs.select("doc_id", *also, words_of(F.col("text")).alias("w"))
-    out = _in_plan(base, few) if len(few) <= in_plan else _joined(base, windows)
-    n_words, n_hit = F.size("w").cast("long"), covered(F.col("found"))
-    out = out.select("doc_id", *also, n_words.alias("n_words"), n_hit.alias("n_hit"), "items", _merged(F.col("found")).alias("spans"))
+    windows = table(benchmark_windows(benchmark, n), "windows")
+    few = windows.select("size", "hash").distinct().limit(in_plan + 1).collect()
+    base = docs.select(_row_key().alias("key"), "doc_id", words_of(F.col("text")).alias("w"))
+    if len(few) <= in_plan:
+        sizes: dict[int, list[int]] = {}
+        for r in few:
+            sizes.setdefault(r["size"], []).append(r["hash"])
+        probe = F.expr(f"transform(array(w), w -> struct(cast(size(w) as long) as n_words, {_probe(sizes)} as near))[0]")
+        # a generator of one row: nothing that is asked of its result is evaluated on the words again
+        seen = table(base.select("key", "doc_id", F.explode_outer(F.array(probe)).alias("c")).select("key", "doc_id", "c.*"), "scanned")
+        near = seen.where("size(near) > 0").select("key", F.explode("near").alias("p")).select("key", "p.*")
+    else:
+        sizes = [r[0] for r in windows.select("size").distinct().orderBy("size").collect()]  # n values at most
+        seen = base.select("key", "doc_id", F.size("w").cast("long").alias("n_words"))
+        near = base.select("key", F.explode(F.expr(f"transform(array(w), w -> {_all_windows(sizes)})[0]")).alias("p")).select("key", "p.*")
+    true = near.join(windows.select("gram", F.col("items").alias("of")), "gram")
+    found = table(true.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("b", "e"))).alias("found"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("of")))).alias("items")), "hits")
+    out = seen.join(found, "key", "left").select(
+        "key", "doc_id", "n_words", F.coalesce("found", F.expr("cast(array() as array<struct<b: int, e: int>>)")).alias("found"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
+    out = out.select("key", "doc_id", "n_words", covered(F.col("found")).alias("n_hit"), "items", _merged(F.col("found")).alias("spans"))
     return out.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
 
 
@@ -117,12 +106,15 @@ def _merged(found: Column) -> Column:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *also: str, n: int = 13) -> DataFrame:
     """``docs(doc_id, text)`` without contaminated documents, and without the hit words of the others.
 
-    Returns doc_id, ``also``, text. A text without hits comes back as it was.
+    Returns doc_id, ``also``, text. A text without hits comes back as it was; its words are not even looked for again.
     """
-    scored = contamination(docs, benchmark, "text", *also, n=n).where(~F.col("contaminated"))
+    hit = table(contamination(docs, benchmark, n).where("n_hit > 0").select("key", "spans", "contaminated").dropDuplicates(["key"]), "contaminated")
+    few = hit.count() <= BROADCAST_HITS
+    joined = docs.select("doc_id", *also, "text", _row_key().alias("key")).join(F.broadcast(hit) if few else hit.hint("shuffle_hash"), "key", "left")
+    scored = joined.where(F.coalesce(~F.col("contaminated"), F.lit(True)))
     words, gaps = words_of(F.col("text"), RAW_WORD), F.split("text", RAW_WORD, -1)
 
     def rebuilt(w: Column) -> Column:
         return let(gaps, lambda g: F.concat(F.get(g, F.lit(0)), F.array_join(F.transform(w, lambda x, i: F.when(F.exists("spans", lambda s: (s["b"] <= i) & (i < s["e"])), F.lit("")).otherwise(F.concat(x, F.get(g, i + 1)))), "")))
 
-    return scored.select("doc_id", *also, F.when(F.size("spans") == 0, F.col("text")).otherwise(let(words, rebuilt)).alias("text"))
+    return scored.select("doc_id", *also, F.when(F.col("spans").isNull(), F.col("text")).otherwise(let(words, rebuilt)).alias("text"))
