@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, mix, powers, prefix_hash, semi, table
+from .common import blocks, mix, semi, table, word_hashes
 from .graph import components
 
 BANDS, ROWS, BATCH = 24, 4, 32
@@ -50,21 +50,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.ndarray]:
     """For each text in a block, its sorted distinct shingle hashes."""
     data = _LOWER[data]
-    n = len(data)
-    doc_start = np.zeros(n + 1, bool)
-    doc_start[offsets] = True
-    space = _SPACE[data]
-    solid = ~space
-    before = np.ones(n, bool)
-    before[1:] = space[:-1]
-    starts = np.flatnonzero(solid & (before | doc_start[:n]))
-    after = np.ones(n, bool)
-    after[:-1] = space[1:]
-    ends = np.flatnonzero(solid & (after | doc_start[1:])) + 1
-    p = prefix_hash(data)
-    _, inv = powers(n + 1)
-    h = mix((p[ends] - p[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
-    cut = np.searchsorted(starts, offsets)
+    (h,), cut = word_hashes(data, offsets, ~_SPACE[data])
     for a, b in zip(cut[:-1], cut[1:]):
         w = h[a:b]
         k = min(words, len(w))
