@@ -91,11 +91,6 @@ def integrate(f, a: np.ndarray, b: np.ndarray, degree: int = 32) -> np.ndarray:
     return (f(mid[:, None] + half[:, None] * x[None, :]) * w).sum(axis=1) * half
 
 
-def uniforms(seed: int, *keys: int, size) -> np.ndarray:
-    """Numbers of [0, 1) that depend on seed and keys only (counter-based)."""
-    return np.random.Generator(np.random.Philox(key=[seed & (2**64 - 1), hash(keys) & (2**64 - 1)])).random(size)
-
-
 def by_id(ids: np.ndarray, seed: int, stage: int, width: int) -> np.ndarray:
     """Uniform numbers of [0, 1), one row per id, whatever rows it comes with."""
     x = ids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, width + 1, dtype=np.uint64)[None, :] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64((seed * 0x165667B19E3779F9 + stage * 0x27D4EB2F165667C5) % 2**64)
