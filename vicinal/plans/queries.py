@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +17,7 @@ from ..operators import quality as Q
 from ..operators import sampling as S
 from ..sources import points as P
 from ..sources import triples as T
-from ..sources.shared import folder, settled
+from ..sources.shared import scratch, settled
 from ..streaming.transform import drain, transform_stream
 from .estimator import Tsne, Umap
 
@@ -272,7 +271,7 @@ def umap_stream(spark, d):
     """Even ids as a stream through a model of the odd ones."""
     p = points(spark, d)
     model = Umap(n_epochs=200).fit(p.where("id % 2 = 1"))[1]
-    at = f"{folder(spark)}/vicinal/stream-{uuid.uuid4().hex}"
+    at = scratch(spark, "stream")
     p.where("id % 2 = 0").write.parquet(f"{at}/in")
     stream = spark.readStream.schema(p.schema).parquet(f"{at}/in")
     return flat(drain(transform_stream(model, stream), at))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -10,6 +11,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Paths written by this process, with the Hadoop settings to reach them.
+_WRITTEN: list[tuple[str, object]] = []
+
+
+def forget() -> None:
+    """Deletes the tables this process has written; runs at exit, when no result can be read any more."""
+    from pyspark import SparkContext
+
+    while _WRITTEN:
+        path, settings = _WRITTEN.pop()
+        with contextlib.suppress(Exception):  # the JVM may have gone first
+            at = SparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(settings).delete(at, True)
+
+
+atexit.register(forget)
+
+
 def folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where it is unset, a temporary folder of this process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -21,8 +40,15 @@ def folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when this process ends."""
+    path = f"{folder(spark)}/vicinal/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((path, spark._jsc.hadoopConfiguration()))
+    return path
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet and read back, so later stages neither recompute it nor lose it."""
-    path = f"{folder(df.sparkSession)}/vicinal/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
