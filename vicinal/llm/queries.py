@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, language_id, quality_rules, secrets, token_counts, toxicity
-from ..sources.shared import folder
+from ..sources.shared import scratch
 from .common import read, semi
 from .line_dedup import dedup_lines
 from .mixing import mix
@@ -34,7 +33,7 @@ def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after three batches, the first two of them sent twice: all documents come; those labelled of low quality go;
     those labelled toxic are revised to their distinct lines."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    ledger = token_counts.Ledger(spark, f"{folder(spark)}/vicinal/ledger-{uuid.uuid4().hex}", token_counts.version(token_counts.FOLDER, token_counts.VOCABULARY))
+    ledger = token_counts.Ledger(spark, scratch(spark, "ledger"), token_counts.version(token_counts.FOLDER, token_counts.VOCABULARY))
     marked = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
     come = docs.withColumn("op", F.lit("insert"))
     gone = semi(docs.select("doc_id", "source", "lang"), marked.where("q = 0").select("doc_id"), "doc_id").withColumns({"op": F.lit("delete"), "text": F.lit(None).cast("string")})
