@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The format's columns; subjects are "model" and "point_<id>"; a point's predicates are umap1, umap2, ...,
+# sigma, rho and the feature names; the model's are its parameters and feature_0, feature_1, ...
 SCHEMA = "subject string, predicate string, object string"
 #: Predicates of a point that no feature may be called.
 RESERVED = {"sigma", "rho"}
