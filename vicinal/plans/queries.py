@@ -17,7 +17,7 @@ from ..operators import quality as Q
 from ..operators import sampling as S
 from ..sources import points as P
 from ..sources import triples as T
-from ..sources.shared import scratch, settled
+from ..sources.shared import scratch, settled, spread
 from ..streaming.transform import drain, transform_stream
 from .estimator import Tsne, Umap
 
@@ -29,7 +29,7 @@ BOUNDARIES = [-0.2, -0.1, -0.05, 0.0, 0.05, 0.1, 0.2]
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.to_points(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
+    return P.to_points(spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), "vec_id", "embedding")
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,3 +52,11 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, least: int = 4 << 20) -> DataFrame:
+    """A scan of less than ``least`` bytes a core is dealt to all cores, as its few row groups would keep most idle.
+    Larger scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < least * cores else df
