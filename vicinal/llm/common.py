@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import let  # noqa: F401  operators take these two from here
 from ..sources.shared import settled as table  # noqa: F401
+from ..sources.shared import spread
 
 #: Words of the near-duplicate and quality operators: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,7 +27,7 @@ BROADCAST_KEYS = 1_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def semi(df: DataFrame, keys: DataFrame, on: str, limit: int = BROADCAST_KEYS) -> DataFrame:
