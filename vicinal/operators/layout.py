@@ -9,6 +9,7 @@ sums the moves by id and writes the next table. To lay out a whole lake, fit a s
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ from .initial import COORDINATES, rows
 
 LOCAL_EDGES = 5_000_000
 BATCHES = 4
+#: A batch of this many firing edges a chunk is worked on by several threads of the one task.
+CHUNK, THREADS = 16_384, 8
 CLAMP, LEAST = 4.0, 2.0**-23
 
 
@@ -50,34 +53,45 @@ def optimize(y: np.ndarray, src: np.ndarray, dst: np.ndarray, weight: np.ndarray
     eps = weight.max() / weight
     neg = eps / negative_rate if negative_rate > 0 else np.full(len(eps), np.inf)
     due, due_neg = eps.copy(), neg.copy()
-    rng = np.random.Generator(np.random.Philox(seed))
 
     def apart(i: np.ndarray, j: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         diff = [x[i] - x[j] for x in columns]
         return diff, sum(d * d for d in diff)
 
-    for t in range(epochs):
-        alpha = np.float32(rate * (1 - t / epochs))
-        on = np.flatnonzero(due <= t)
-        for k in range(BATCHES):
-            part = on[k::BATCHES]
-            if not len(part):
-                continue
-            i, j = src[part], dst[part]
-            pull, d2 = apart(i, j)
-            g = alpha * attraction(d2, a, b)
-            times = np.where(t > due_neg[part], (t - due_neg[part]) / neg[part], 0).astype(np.int64)
-            head = np.repeat(i, times)
-            other = rng.integers(0, n, len(head))
-            push, d2 = apart(head, other)
-            r = alpha * repulsion(d2, a, b, strength)
-            r[other == head] = 0
-            most = np.float32(CLAMP) * alpha
-            for x, p, q in zip(columns, pull, push):
-                p, q = np.clip(g * p, -most, most), np.clip(r * q, -most, most)
-                x += (np.bincount(i, p, n) - np.bincount(j, p, n) + np.bincount(head, q, n)).astype(np.float32)
-            due_neg[part] += times * np.where(np.isfinite(neg[part]), neg[part], 0)
-        due[on] += eps[on]
+    def moves(part: np.ndarray, t: int, key: int, alpha: np.float32) -> list[np.ndarray]:
+        """Each column's moves by the firing edges ``part``; draws depend on (seed, key) only."""
+        i, j = src[part], dst[part]
+        pull, d2 = apart(i, j)
+        g = alpha * attraction(d2, a, b)
+        times = np.where(t > due_neg[part], (t - due_neg[part]) / neg[part], 0).astype(np.int64)
+        head = np.repeat(i, times)
+        other = np.random.Generator(np.random.Philox(key=[seed & (2**64 - 1), key])).integers(0, n, len(head), dtype=np.int32)
+        push, d2 = apart(head, other)
+        r = alpha * repulsion(d2, a, b, strength)
+        r[other == head] = 0
+        most = np.float32(CLAMP) * alpha
+        due_neg[part] += times * np.where(np.isfinite(neg[part]), neg[part], 0)
+        out = []
+        for p, q in zip(pull, push):
+            p, q = np.clip(g * p, -most, most), np.clip(r * q, -most, most)
+            out.append(np.bincount(i, p, n) - np.bincount(j, p, n) + np.bincount(head, q, n))
+        return out
+
+    with ThreadPoolExecutor(THREADS) as pool:
+        for t in range(epochs):
+            alpha = np.float32(rate * (1 - t / epochs))
+            on = np.flatnonzero(due <= t)
+            for k in range(BATCHES):
+                part = on[k::BATCHES]
+                if not len(part):
+                    continue
+                # a large batch is cut by its size alone, so threads change neither draws nor the order of sums
+                chunks = np.array_split(part, max(1, min(THREADS, len(part) // CHUNK)))
+                keys = [(t * BATCHES + k) * THREADS + c for c in range(len(chunks))]
+                found = list(pool.map(moves, chunks, [t] * len(chunks), keys, [alpha] * len(chunks))) if len(chunks) > 1 else [moves(part, t, keys[0], alpha)]
+                for c, x in enumerate(columns):
+                    x += sum(f[c] for f in found).astype(np.float32)
+            due[on] += eps[on]
     out = np.stack(columns, axis=1).astype(np.float64)
     return out - out.mean(axis=0)
 
