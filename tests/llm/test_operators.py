@@ -125,6 +125,23 @@ def test_binomial_tail_and_thresholds(spark):
     assert bad.where("kept").count() == 0 and got.where("doc_id % 4 != 0 and not kept").count() <= 0.05 * 4500
 
 
+def test_quality_strata_certify_their_own_cuts(spark):
+    # a large language of short words, and good documents of rare and unknown languages with long ones
+    langs = ["en"] * 6000 + ["fi"] * 10 + [None] * 10
+    rows = [(i, prose(40, i) if lang == "en" else " ".join(w * 4 for w in prose(40, i).split()), lang) for i, lang in enumerate(langs)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(i, 1) for i in range(len(rows))], "doc_id long, quality int")
+    got = quality_rules.judge(df, labels, risk=0.05)
+    assert "longest_mean_word" in quality_rules.thresholds(quality_rules.features(df, "lang"), labels, 0.05, 0.05)["en"]
+    assert got.where("coalesce(lang, '') != 'en' and not kept").count() == 0
+
+
+def test_quality_strata_have_no_cap(spark):
+    counted = spark.range(300 * 150).selectExpr("id as doc_id", "concat('l', id % 300) as lang", "40L as n_words", "160L as word_chars", "0L as n_symbols", "4L as n_lines", "0L as n_dup_lines", "0L as n_repeat_words")
+    cuts = quality_rules.thresholds(counted, counted.selectExpr("doc_id", "1 as quality"), 0.5, 0.05)
+    assert sum(set(cuts.get(f"l{i}", {})) == set(quality_rules.GRIDS) for i in range(300)) == 300
+
+
 def test_base_secrets(docs, empty):
     found = secrets.scan(docs).select("doc_id", secrets.text_of(F.expr("filter(spans, s -> s.kind < 3)")).alias("base"))
     assert by_id(found, "base") == {d: (",".join(brute.base_spans(t)),) for d, t in ROWS}

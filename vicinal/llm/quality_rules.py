@@ -8,9 +8,9 @@ Clopper-Pearson upper bound read backwards. Each rule gets an equal part of ``ri
 reject at most ``risk`` of its good documents, with probability 1 - delta over all strata. The tightest certified cut-off
 is used; where none is certified the rule is off.
 
-Defined results: null and empty texts have zero counts and fail the base rule (fewer than 20 words). A null language, or
-one with too few labels, uses the pooled stratum. A document labelled twice is good only if all its labels are. Without
-labels no rule is on. Repeated rows get equal results; an empty table gives an empty result.
+Defined results: null and empty texts have zero counts and fail the base rule (fewer than 20 words). The documents without
+a language are a stratum like any other; a language with too few labels to certify a cut-off has no rule on, whatever other
+languages show. A document labelled twice is good only if all its labels are. Without labels no rule is on. Repeated rows get equal results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,9 +22,6 @@ from pyspark.sql import functions as F
 
 from .common import WORD, covered, let, table
 
-#: Strata of their own: the languages with most good labelled documents; all others are pooled.
-MOST_STRATA = 256
-POOLED = ""
 RUN = 8
 #: Cut-offs tried, loosest last. A document is rejected if its value is above the cut-off.
 GRIDS: dict[str, list[float]] = {
@@ -93,22 +90,24 @@ def below(n: int, rate: float, k: int) -> float:
     return min(1.0, math.exp(first + math.log(total)))
 
 
-def thresholds(counted: DataFrame, labels: DataFrame, risk: float, delta: float) -> dict[str, dict[str, float]]:
-    """{stratum: {rule: cut-off}} certified on ``labels(doc_id, quality)``; at most MOST_STRATA + 1 rows reach the driver."""
+def thresholds(counted: DataFrame, labels: DataFrame, risk: float, delta: float) -> dict[str | None, dict[str, float]]:
+    """{language or None: {rule: cut-off}}, each certified on the language's own ``labels(doc_id, quality)``.
+
+    One row for each ``len(GRIDS) / risk`` good documents reaches the driver at most, and one for the null language.
+    """
+    rate = risk / len(GRIDS)
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
     held = counted.where("n_words > 0").join(good, "doc_id", "left_semi")
     sums = [F.sum((v > c).cast("long")).alias(f"{name}@{i}") for name, v in _values().items() for i, c in enumerate(GRIDS[name])]
     per = held.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *sums)
-    per = per.where("lang is not null").orderBy(F.desc("n"), "lang").limit(MOST_STRATA).collect()
-    whole = held.agg(F.count(F.lit(1)).alias("n"), *sums).collect()
-    strata = {r.lang: r for r in per if r.n * (risk / len(GRIDS)) >= 1} | {POOLED: whole[0]}
+    strata = {None: None} | {r.lang: r for r in per.where((F.col("n") * F.lit(rate) >= 1) | F.col("lang").isNull()).collect()}
     level = delta / (len(strata) * sum(map(len, GRIDS.values())))
-    out: dict[str, dict[str, float]] = {}
+    out: dict[str | None, dict[str, float]] = {}
     for stratum, r in strata.items():
         out[stratum] = {}
         for name, grid in GRIDS.items():
             for i, cut in enumerate(grid):
-                if r.n and below(r.n, risk / len(GRIDS), r[f"{name}@{i}"]) <= level:
+                if r and below(r.n, rate, r[f"{name}@{i}"]) <= level:
                     out[stratum][name] = cut
                     break
     return out
@@ -118,14 +117,10 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float =
     """One row per row of ``docs(doc_id, text, lang)``: its counts, base_failed, failed (rules, sorted), kept."""
     counted = table(features(docs, "lang"), "quality")
     cuts = thresholds(counted, labels, risk, delta)
-    failed = []
-    for name, value in _values().items():
-        own = F.lit(None).cast("double")
-        for stratum, of in cuts.items():
-            own = F.when(F.col("lang") == stratum, F.lit(of.get(name))).otherwise(own) if stratum != POOLED else own
-        named = F.col("lang").isin([s for s in cuts if s != POOLED])
-        cut = F.when(F.coalesce(named, F.lit(False)), own).otherwise(F.lit(cuts[POOLED].get(name)).cast("double"))
-        failed.append(F.when(F.coalesce(value > cut, F.lit(False)), F.lit(name)))
+    rows = [F.struct(F.lit(lang).cast("string").alias("of"), *[F.lit(c.get(name)).cast("double").alias(f"cut_{name}") for name in GRIDS]) for lang, c in cuts.items()]
+    own = docs.sparkSession.range(1).select(F.inline(F.array(*rows)))
+    counted = counted.join(F.broadcast(own), F.col("lang").eqNullSafe(F.col("of")), "left")
+    failed = [F.when(F.coalesce(value > F.col(f"cut_{name}"), F.lit(False)), F.lit(name)) for name, value in _values().items()]
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     out = counted.withColumn("base_failed", base).withColumn("failed", F.when(F.col("n_words") > 0, F.array_sort(F.array_compact(F.array(*failed)))).otherwise(F.expr("cast(array() as array<string>)")))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0)).drop("of", *[f"cut_{name}" for name in GRIDS])
