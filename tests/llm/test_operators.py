@@ -158,6 +158,21 @@ def test_random_tokens_are_found_and_ordinary_ones_are_not(spark):
     assert sum(got[i][0] for i in range(40)) >= 36 and sum(got[100 + i][0] for i in range(len(plain) * 5)) == 0
 
 
+def test_random_tokens_of_every_encoding_and_length_are_found(spark):
+    r = random.Random(6)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    least = {lower: (0.3, 0.6, 0.9), "0123456789ABCDEF": (0.7, 0.9, 0.95), lower.upper() + "234567": (0.7, 0.9, 0.95), lower + digits: (0.7, 0.9, 0.95), lower + lower.upper() + digits + "+/": (0.8, 0.95, 0.95)}
+    keys = [(a, n, "".join(r.choice(a) for _ in range(n))) for a in least for n in (20, 28, 40) for _ in range(100)]
+    words = ["internationalization", "gesellschaft", "versammlungen", "responsabilidades", "anticonstitutionnellement", "windows2008server", "Identifier", "Name"]
+    plain = [x for x in ("".join(r.choice(words) for _ in range(2)) for _ in range(900)) if len(x) >= 20]
+    plain += [x.upper() for x in plain[:300]] + ["x" * n for n in range(20, 40)] + [lower, digits * 2 + "abcdef"]
+    rows = [(i, f"value {k} here") for i, (_, _, k) in enumerate(keys)] + [(10000 + i, f"word {p} here") for i, p in enumerate(plain)]
+    got = by_id(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", F.expr("size(filter(spans, s -> s.kind = 3))").alias("n")), "n")
+    found = {(a, n): np.mean([got[i][0] for i, (b, m, _) in enumerate(keys) if (a, n) == (b, m)]) for a in least for n in (20, 28, 40)}
+    assert all(found[a, n] >= share for a, shares in least.items() for n, share in zip((20, 28, 40), shares)), found
+    assert sum(got[10000 + i][0] for i in range(len(plain))) <= 0.01 * len(plain)
+
+
 def test_cutoffs_are_those_of_benjamini_hochberg():
     r = np.random.default_rng(1)
     p = np.concatenate([r.uniform(size=900), 10 ** -r.uniform(6, 12, 100)])
