@@ -53,7 +53,7 @@ def clean_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sample by calibrated probabilities, with them as ``probability`` (under a free name if that is taken)."""
-    drawn = mix(_packed(docs), "carried").where("sampled")
+    drawn = mix(_packed(docs), "carried", bounded=True).where("sampled")
     name = "probability"
     while name in docs.columns:
         name += "_"

@@ -324,3 +324,25 @@ def test_mixing(spark, docs, empty):
     assert abs(got.where("sampled").agg(F.sum("n_tokens")).first()[0] / total - 0.15) < 0.05
     assert mix(docs).count() == len(ROWS) and mix(docs).where("probability is null or sampled is null").count() == 0
     assert mix(empty).count() == 0
+
+
+def test_mixing_reaches_feasible_targets_with_production_parameters(spark):
+    # many cells need more than they hold; the source and language goals can be met all the same
+    r = random.Random(9)
+    rows = [(i, prose(20 + i % 60, i), f"s{min(r.randrange(12), r.randrange(12))}", r.choice(["en"] * 12 + ["de"] * 3 + ["es"])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(4)
+    got = mix(df, bounded=True).withColumn("e", F.col("n_tokens") * F.col("probability")).cache()
+    total, kept = got.agg(F.sum("n_tokens"), F.sum("e")).first()
+    assert abs(kept / total - 0.7) < 1e-9 and got.where("probability = 1").count() > 0
+    for m in MARGINS:
+        held = {x[m]: (x.n, x.e) for x in got.groupBy(m).agg(F.sum("n_tokens").alias("n"), F.sum("e").alias("e")).collect()}
+        share = {k: n**0.5 for k, (n, _) in held.items()}
+        full = set()
+        while True:  # groups that hold less than their target give all; the others share the rest
+            scale = (0.7 * total - sum(held[k][0] for k in full)) / sum(v for k, v in share.items() if k not in full)
+            more = {k for k in held if k not in full and scale * share[k] >= held[k][0]}
+            if not more:
+                break
+            full |= more
+        goal = {k: held[k][0] if k in full else scale * share[k] for k in held}
+        assert all(abs(held[k][1] - goal[k]) < 0.005 * 0.7 * total for k in held), (m, held, goal)

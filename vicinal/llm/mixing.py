@@ -6,6 +6,11 @@ probability min(1, scale * weight / available share), the scale set so that the
 cells that would need more than they have are kept whole and the others make up for it. A document's draw is a hash of its
 id, so a rerun, or a lost executor, draws the same.
 
+That spreads what capped cells lack over all others by one factor, and so misses targets that could be reached. With
+``bounded`` the caps are part of the raking: each step scales a group's weights so that its expected tokens, each cell's
+least(n, w), meet the group's goal. A group's goal is its target share of the kept tokens, or all it has where that is
+less, and the margin's other groups make up for it in proportion to their targets.
+
 The cells are pre-aggregated before any shuffle, so a source with a third of all rows is a few cells like any other.
 
 Target shares default to tempered ones, each share to the power ``temper``, normalized; or give {name: share} a margin.
@@ -26,6 +31,8 @@ from .common import BROADCAST_KEYS, WORD, table
 
 MARGINS = ("source", "lang", "topic")
 ROUNDS, TEMPER, KEEP = 8, 0.5, 0.7
+#: Rounds of the bounded raking, which settles which cells are capped on the way.
+BOUNDED_ROUNDS = 16
 
 
 def described(docs: DataFrame, *also: str) -> DataFrame:
@@ -43,8 +50,22 @@ def draw(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(doc_id.cast("string"), F.lit("null")))), 1, 8), 16, 10).cast("double") / float(2**32)
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int, temper: float) -> DataFrame:
-    """``cells(source, lang, topic, n)`` with their weights w, which sum to 1."""
+def levelled(cells: DataFrame, by: str, goal: Column) -> DataFrame:
+    """``cells(.., n, w)`` with w scaled in each group so that least(n, w) sums to ``goal``, or to all n if that is less.
+
+    With the cells of largest w / n capped one after another, the scale of the rest rises up to the right one, then falls.
+    """
+    per = f"over (partition by {by} order by w / n desc rows between"
+    left = F.expr(f"coalesce(sum(n) {per} unbounded preceding and 1 preceding), 0)")
+    scaled = cells.withColumn("scale", F.try_divide(goal - left, F.expr(f"sum(w) {per} current row and unbounded following)")))
+    return scaled.withColumn("w", F.expr(f"coalesce(w * max(scale) over (partition by {by}), 0.0)")).drop("scale")
+
+
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int, temper: float, kept: float | None = None) -> DataFrame:
+    """``cells(source, lang, topic, n)`` with their weights w, which sum to 1.
+
+    With ``kept``, the share of all tokens to keep, w are bounded cells' expected tokens: least(n, w) is what a cell gives.
+    """
     total = cells.agg(F.sum("n")).collect()[0][0]
     out = cells.withColumn("w", F.col("n") / F.lit(float(total)))
     for m in MARGINS:
@@ -57,10 +78,16 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int, te
             shares = cells.groupBy(m).agg(F.sum("n").alias("s")).select(m, F.pow(F.col("s") / F.lit(float(total)), F.lit(temper)).alias("s"))
             norm = shares.agg(F.sum("s")).collect()[0][0]
             out = out.join(shares.select(m, (F.col("s") / F.lit(norm)).alias(f"t_{m}")), m)
+    if kept is not None:
+        out = out.withColumn("w", F.col("w") * F.lit(kept * total))
+        for m in MARGINS:
+            groups = out.groupBy(m).agg(F.sum("n").alias("n"), F.first(f"t_{m}").alias("w"))
+            goals = levelled(groups, "1", F.lit(kept * total)).select(m, F.least("n", "w").alias(f"t_{m}"))
+            out = out.drop(f"t_{m}").join(goals, m)
     out = table(out, "cells")
     for i in range(rounds):
         for m in MARGINS:
-            out = out.withColumn("w", F.expr(f"w * t_{m} / sum(w) over (partition by {m})"))
+            out = out.withColumn("w", F.expr(f"w * t_{m} / sum(w) over (partition by {m})")) if kept is None else levelled(out, m, F.col(f"t_{m}"))
         if i % 4 == 3 or i == rounds - 1:
             out = table(out, "cells")
     return out.select(*MARGINS, "n", "w")
@@ -79,14 +106,15 @@ def probabilities(cells: DataFrame, keep: float) -> DataFrame:
         scale = now
 
 
-def mix(docs: DataFrame, *also: str, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, temper: float = TEMPER, keep: float = KEEP) -> DataFrame:
+def mix(docs: DataFrame, *also: str, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, temper: float = TEMPER, keep: float = KEEP, bounded: bool = False) -> DataFrame:
     """One row per row of ``docs(doc_id, text, source, lang[, topic])``: doc_id, ``also``, source, lang, topic, n_tokens,
-    probability, sampled. Margins that ``targets`` does not name have tempered shares."""
+    probability, sampled. Margins that ``targets`` does not name have tempered shares. ``bounded`` rakes within the caps."""
     seen = described(docs, *also)
     cells = table(seen.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("n")).where("n > 0"), "cells")
     n = cells.count()
     if n:
-        odds = table(probabilities(rake(cells, targets or {}, rounds, temper), keep), "odds")
+        raked = rake(cells, targets or {}, max(rounds, BOUNDED_ROUNDS), temper, keep) if bounded else rake(cells, targets or {}, rounds, temper)
+        odds = table(probabilities(raked, keep), "odds")
         seen = seen.join(F.broadcast(odds) if n <= BROADCAST_KEYS else odds, list(MARGINS), "left")
     else:
         seen = seen.withColumn("probability", F.lit(None).cast("double"))
