@@ -49,7 +49,7 @@ def test_chain_is_centred():
 def test_distributed_layout_pulls_neighbours_together(spark, two_clusters):
     graph = spark.createDataFrame([(i, j, 1.0) for i in range(20) for j in range(20) if i != j and (i < 10) == (j < 10)], "src long, dst long, weight double")
     start = I.random_init(two_clusters)
-    y = coordinates(L.layout(start, graph, 6, local_edges=0))
+    y = coordinates(L.layout(start, graph, 6, most=0))
     s = coordinates(start)
 
     def spread(v):
@@ -58,6 +58,22 @@ def test_distributed_layout_pulls_neighbours_together(spark, two_clusters):
     assert y.shape == (20, 2) and np.abs(y.mean(axis=0)).max() < 1e-6 and spread(y) < spread(s)
 
 
+def test_blocks_keep_neighbours_together(spark, monkeypatch):
+    # the same graph in one block and in several gives layouts of like quality
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 8)) + np.repeat(np.eye(8)[:4] * 8, 100, axis=0)
+    points = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, features array<double>")
+    ratios = []
+    for block in (6400, 60):
+        monkeypatch.setattr(L, "BLOCK", block)
+        y = coordinates(Umap(n_neighbors=10, n_epochs=120).fit_transform(points))
+        centre = np.stack([y[i * 100 : i * 100 + 100].mean(axis=0) for i in range(4)])
+        within = np.linalg.norm(y - np.repeat(centre, 100, axis=0), axis=1).mean()
+        ratios.append(np.linalg.norm(centre[:, None] - centre[None], axis=2).sum() / 12 / within)
+        assert np.isfinite(y).all() and np.abs(y.mean(axis=0)).max() < 1e-6
+    assert min(ratios) > 2 and ratios[1] > 0.5 * ratios[0]
+
+
 def test_epochs():
     assert (L.epochs_for(9_999), L.epochs_for(10_000), L.epochs_for(5, 7)) == (500, 200, 7)
 

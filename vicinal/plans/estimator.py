@@ -18,7 +18,7 @@ from ..operators.graph import fuzzy_graph, smooth_knn
 from ..operators.initial import COORDINATES, Projection, initial, pca_reduce, rows
 from ..operators.knn import knn, matrix
 from ..operators.layout import CLAMP, attraction, epochs_for, layout
-from ..operators.sampling import complement, sample, scatter
+from ..operators.sampling import scatter, split
 from ..operators.tsne import tsne
 from ..sources import triples
 from ..sources.points import validate
@@ -106,9 +106,9 @@ class Umap:
         """(id, y) of all points."""
         if self.train_size is None or self.train_size >= 1:
             return self.with_(model_format=None).fit(points)[0]
-        train = settled(sample(points, self.train_size, self.seed), "train")
-        embedding, model = self.fit(train)
-        return scatter(embedding, model.transform(complement(points, train)))
+        train, rest = split(points, self.train_size, self.seed)
+        embedding, model = self.fit(settled(train, "train"))
+        return scatter(embedding, model.transform(rest))
 
     def fit_transform_with_knn(self, points: DataFrame, edges: DataFrame) -> DataFrame:
         return self.fit(points, edges)[0]

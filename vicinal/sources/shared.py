@@ -29,15 +29,23 @@ def forget() -> None:
 atexit.register(forget)
 
 
+#: The folder of a local session without ``spark.checkpoint.dir``, made when it is first needed.
+_LOCAL: list[str] = []
+
+
 def folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset, a temporary folder of this process."""
+    """``spark.checkpoint.dir``. A local session may leave it unset, and has a temporary folder then; a cluster may not,
+    since its executors would not see the driver's."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        made = tempfile.mkdtemp(prefix="vicinal-")
-        atexit.register(shutil.rmtree, made, True)
-        found = f"file://{made}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that driver and executors share; the master is {master}")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="vicinal-"))
+        atexit.register(shutil.rmtree, _LOCAL[0], True)
+    return f"file://{_LOCAL[0]}"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -51,7 +59,18 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet and read back, so later stages neither recompute it nor lose it."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._vicinal_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the table of a ``settled`` frame that nothing reads any more."""
+    path = getattr(df, "_vicinal_path", None)
+    for entry in [w for w in _WRITTEN if w[0] == path]:
+        _WRITTEN.remove(entry)
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(entry[1]).delete(at, True)
 
 
 def spread(df: DataFrame, least: int = 4 << 20) -> DataFrame:
