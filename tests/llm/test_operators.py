@@ -173,6 +173,52 @@ def test_random_tokens_of_every_encoding_and_length_are_found(spark):
     assert sum(got[10000 + i][0] for i in range(len(plain))) <= 0.01 * len(plain)
 
 
+def test_battery_p_values_are_uniform_on_uniform_codes(spark):
+    r = np.random.default_rng(2)
+    for k, n in ((16, 40), (26, 24), (64, 64)):
+        x = spark.createDataFrame([(row.tolist(),) for row in r.integers(0, k, (1500, n))], "x array<int>").repartition(4)
+        p = np.array([y[0] for y in x.select(secrets.battery(F.col("x"), F.lit(float(k)))).collect()])
+        # three times the least of three: a level is met by at most that share, and by not much less
+        assert all(0.4 * a - 0.01 <= (p <= a).mean() <= 1.25 * a + 0.008 for a in (0.01, 0.05, 0.1, 0.2)), (k, n)
+
+
+def test_likelihood_ratios_are_rare_under_the_chain(spark):
+    r = np.random.default_rng(4)
+    for _, alphabet in (secrets.ALPHABETS[1], secrets.ALPHABETS[3], secrets.ALPHABETS[4]):
+        first, after = (np.array(x) for x in secrets._chain(alphabet))
+        k, rows = len(alphabet), []
+        for _ in range(800):
+            x = [r.choice(k, p=first / first.sum())]
+            while len(x) < 30:
+                q = after[x[-1] * k : x[-1] * k + k].copy()
+                q[x[-1]] += secrets.AGAIN
+                if len(x) > 1:
+                    q[x[-2]] += secrets.ALTERNATE
+                if x[-1] + 1 < k:
+                    q[x[-1] + 1] += secrets.UPWARDS
+                x.append(r.choice(k, p=q / q.sum()))
+            rows.append(("".join(alphabet[c] for c in x),))
+        tokens = spark.createDataFrame(rows, "t string").repartition(4)
+        ratio = np.exp([x[0] for x in tokens.select(secrets.encoded(F.col("t"), secrets.log_ratio)).collect()])
+        assert all((ratio >= 1 / a).mean() <= a + 0.01 for a in (0.01, 0.05, 0.2))
+
+
+def test_paths_and_joined_words_are_no_secrets(spark):
+    plain = ["some/long/path/to/a/file/name", "src/main/java/com/example/service/UserServiceImpl", "the-quick-brown-fox-jumps-over-the-lazy-dog", "MAXIMUM_NUMBER_OF_CONNECTIONS", "getElementsByClassNameAndTagName"]
+    rows = [(i, f"see {plain[i % 5]} there") for i in range(250)]
+    assert secrets.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).where("size(spans) > 0").count() == 0
+
+
+def test_a_long_text_of_tokens(spark):
+    r = random.Random(12)
+    tokens = ["".join(r.choice("0123456789abcdef" if i % 2 else "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(40)) for i in range(3000)]
+    text = " ".join(tokens) + " é " + "A" * 100_000
+    spans = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0].spans
+    assert [(s.b, s.e) for s in spans if s.kind == 2] == [(41 * i, 41 * i + 40) for i in range(1, 3000, 2)]
+    found = {(s.b, s.e) for s in spans if s.kind == 3}
+    assert len(found) >= 0.95 * 1500 and found <= {(41 * i, 41 * i + 40) for i in range(0, 3000, 2)}
+
+
 def test_cutoffs_are_those_of_benjamini_hochberg():
     r = np.random.default_rng(1)
     p = np.concatenate([r.uniform(size=900), 10 ** -r.uniform(6, 12, 100)])

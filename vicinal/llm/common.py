@@ -54,6 +54,37 @@ def covered(spans: Column) -> Column:
     )
 
 
+def running(values: Column, zero: Column, op, kind: str = "int", chunk: int = 64) -> Column:
+    """Array of the running results of ``op`` over an array, ``zero`` first put in and not given back.
+
+    Results are gathered by chunks, so an array of n values costs n * chunk + (n / chunk) ** 2 steps of copying at most.
+    """
+    none = F.expr(f"cast(array() as array<{kind}>)")
+
+    def whole(x: Column) -> Column:
+        chunks = F.when(F.size(x) > 0, F.sequence(F.lit(0), F.floor((F.size(x) - 1) / chunk).cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
+
+        def part(c: Column) -> Column:
+            return F.slice(x, c * chunk + 1, F.lit(chunk))
+
+        def added(a: Column, v: Column) -> Column:
+            return let(op(a["s"], v), lambda s: F.struct(s.alias("s"), F.concat(a["out"], F.array(s)).alias("out")))
+
+        starts = F.aggregate(chunks, F.struct(zero.alias("s"), none.alias("out")), lambda a, c: F.struct(F.aggregate(part(c), a["s"], op).alias("s"), F.concat(a["out"], F.array(a["s"])).alias("out")), lambda a: a["out"])
+        return F.flatten(F.transform(starts, lambda s, c: F.aggregate(part(c), F.struct(s.alias("s"), none.alias("out")), added, lambda a: a["out"])))
+
+    return let(values, whole)
+
+
+def before(n: Column, smaller) -> Column:
+    """How many of 0 to n - 1 fulfil ``smaller``, which holds up to some number and not from there, by bisection."""
+    def halved(a: Column, _: Column) -> Column:
+        mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+        return F.when(a["lo"] >= a["hi"], a).otherwise(let(mid, lambda m: let(smaller(m), lambda y: F.struct(F.when(y, m + 1).otherwise(a["lo"]).alias("lo"), F.when(y, a["hi"]).otherwise(m).alias("hi")))))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(32)), F.struct(F.lit(0).alias("lo"), n.alias("hi")), halved, lambda a: a["lo"])
+
+
 # ---------------------------------------------------------------- numpy side
 
 #: Odd base of the polynomial hash modulo 2**64, and its inverse.
