@@ -142,6 +142,15 @@ def test_quality_strata_have_no_cap(spark):
     assert sum(set(cuts.get(f"l{i}", {})) == set(quality_rules.GRIDS) for i in range(300)) == 300
 
 
+def test_quality_rules_on_the_large_table_keep_their_promise(spark):
+    # at this size the rules are at work: junk goes, and good documents whose labels were not used stay
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    used = labels.where("pmod(xxhash64(doc_id), 3) > 0")
+    got = quality_rules.judge(docs, used).join(labels.groupBy("doc_id").agg(F.min("quality").alias("q")), "doc_id").where("n_words >= 20")
+    seen = {r.lang: r for r in got.groupBy("lang").agg(F.max("certified").alias("certified"), F.sum(F.expr("int(q = 0 and size(failed) > 0)")).alias("junk"), F.avg(F.expr("if(q = 1 and pmod(xxhash64(doc_id), 3) = 0, int(size(failed) > 0), null)")).alias("lost")).collect()}
+    assert seen["en"].certified and seen["en"].junk > 50 and all(r.lost <= 0.02 for r in seen.values()), seen
+
+
 def test_base_secrets(docs, empty):
     found = secrets.scan(docs).select("doc_id", secrets.text_of(F.expr("filter(spans, s -> s.kind < 3)")).alias("base"))
     assert by_id(found, "base") == {d: (",".join(brute.base_spans(t)),) for d, t in ROWS}

@@ -1,12 +1,18 @@
 """Quality rules with risk-controlled thresholds.
 
-Features of each whole text are compared with cut-offs, one for each rule and stratum (language). A cut-off is chosen on
-labelled documents so that the share of good documents that the rule rejects stays below its part of ``risk``: with k of
-n good documents beyond a cut-off, it is certified if an exact binomial test rejects "the true rate is at least r", that
-is if P(Bin(n, r) <= k) <= delta / number of tests (Bonferroni over strata, rules and grid), which is the exact
-Clopper-Pearson upper bound read backwards. Each rule gets an equal part of ``risk``, so a stratum's rules together
-reject at most ``risk`` of its good documents, with probability 1 - delta over all strata. The tightest certified cut-off
-is used; where none is certified the rule is off.
+Features of each whole text are compared with cut-offs, one for each rule and stratum (language). They are chosen on good
+labelled documents so that the rules together reject less than ``risk`` of a stratum's good documents:
+
+1. One in ``LEARN`` good documents, by a hash of the id, proposes: each rule's tightest cut-off of its grid that rejects at
+   most ``risk / (2 * rules)`` of these.
+2. The others certify. The proposal is loosened by ``STEPS`` places of all grids, where every rule is off, and tightened a
+   place at a time up to the proposal itself. At each step an exact binomial test asks whether the true share that the
+   rules reject together may be ``risk`` or more: with k of n rejected, the step is certified if P(Bin(n, risk) <= k), the
+   Clopper-Pearson upper bound read backwards, is at most delta / strata. The first step that fails ends the sequence.
+   Tests in a fixed order need no correction among themselves, and strata share ``delta`` by Bonferroni.
+
+So with probability 1 - delta no stratum loses ``risk`` of its good documents or more to its rules. A stratum whose number
+of labels could not certify any step takes no part; it has no rule on, and its documents say so by ``certified`` = false.
 
 Defined results: null and empty texts have zero counts and fail the base rule (fewer than 20 words). The documents without
 a language are a stratum like any other; a language with too few labels to certify a cut-off has no rule on, whatever other
@@ -23,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import WORD, covered, let, table
 
 RUN = 8
+#: One in so many good documents proposes cut-offs; the places of a grid by which certification starts looser.
+LEARN, STEPS = 4, 18
 #: Cut-offs tried, loosest last. A document is rejected if its value is above the cut-off.
 GRIDS: dict[str, list[float]] = {
     "symbols_per_word": [round(0.02 * 1.3**i, 4) for i in range(18)],
@@ -90,37 +98,57 @@ def below(n: int, rate: float, k: int) -> float:
     return min(1.0, math.exp(first + math.log(total)))
 
 
+def _failing() -> dict[str, Column]:
+    """How many cut-offs of its grid a document fails, for each rule; they are the tightest ones."""
+    def failing(name: str, value: Column) -> Column:
+        return F.size(F.filter(F.array(*[F.lit(c) for c in GRIDS[name]]), lambda c: value > c))
+
+    return {name: failing(name, value) for name, value in _values().items()}
+
+
 def thresholds(counted: DataFrame, labels: DataFrame, risk: float, delta: float) -> dict[str | None, dict[str, float]]:
-    """{language or None: {rule: cut-off}}, each certified on the language's own ``labels(doc_id, quality)``.
+    """{language or None: {rule: cut-off}} of the strata with a certified step, by their own ``labels(doc_id, quality)``.
 
-    One row for each ``len(GRIDS) / risk`` good documents reaches the driver at most, and one for the null language.
+    A stratum needs some 150 certifying documents to take part, and gives the driver a row or two for each step.
     """
-    rate = risk / len(GRIDS)
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
-    held = counted.where("n_words > 0").join(good, "doc_id", "left_semi")
-    sums = [F.sum((v > c).cast("long")).alias(f"{name}@{i}") for name, v in _values().items() for i, c in enumerate(GRIDS[name])]
-    per = held.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *sums)
-    strata = {None: None} | {r.lang: r for r in per.where((F.col("n") * F.lit(rate) >= 1) | F.col("lang").isNull()).collect()}
-    level = delta / (len(strata) * sum(map(len, GRIDS.values())))
-    out: dict[str | None, dict[str, float]] = {}
-    for stratum, r in strata.items():
-        out[stratum] = {}
-        for name, grid in GRIDS.items():
-            for i, cut in enumerate(grid):
-                if r and below(r.n, rate, r[f"{name}@{i}"]) <= level:
-                    out[stratum][name] = cut
-                    break
+    part = F.conv(F.substring(F.md5(F.concat(F.lit("quality:"), F.col("doc_id").cast("string"))), 1, 8), 16, 10).cast("long") % LEARN
+    held = counted.where("n_words > 0").join(good, "doc_id", "left_semi").withColumn("learns", part == 0)
+    held = table(held.select("lang", "learns", *[n.alias(name) for name, n in _failing().items()]), "held")
+    least = math.ceil(math.log(delta) / math.log1p(-risk))  # fewer certify nothing, whatever they show
+    beyond = [F.sum(F.when(F.col("learns") & (F.col(f"`{name}`") > i), 1).otherwise(0)).alias(f"{name}@{i}") for name in GRIDS for i in range(len(GRIDS[name]))]
+    strata = held.groupBy("lang").agg(F.sum(F.col("learns").cast("long")).alias("n"), F.sum((~F.col("learns")).cast("long")).alias("m"), *beyond).where(F.col("m") >= least).collect()
+    allowed = risk / (2 * len(GRIDS))
+    proposed = {r.lang: {name: next((i for i in range(len(g)) if r[f"{name}@{i}"] <= allowed * r.n), len(g)) for name, g in GRIDS.items()} for r in strata}
+    if not proposed:
+        return {}
+    rows = F.array(*[F.struct(F.lit(lang).cast("string").alias("of"), *[F.lit(i).alias(f"at_{name}") for name, i in p.items()]) for lang, p in proposed.items()])
+    own = F.broadcast(counted.sparkSession.range(1).select(F.inline(rows)))
+    steps = F.greatest(*[F.col(name) - F.col(f"at_{name}") for name in GRIDS])  # rejected at every step below this one
+    seen = held.where("not learns").join(own, F.col("lang").eqNullSafe(F.col("of"))).groupBy("lang", steps.alias("step")).count().collect()
+    out = {}
+    for r in strata:
+        certified = None
+        for step in range(STEPS, -1, -1):
+            k = sum(s["count"] for s in seen if s.lang == r.lang and s.step > step)
+            if below(r.m, risk, k) > delta / len(strata):
+                break
+            certified = step
+        if certified is not None:
+            out[r.lang] = {name: GRIDS[name][i + certified] for name, i in proposed[r.lang].items() if i + certified < len(GRIDS[name])}
     return out
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """One row per row of ``docs(doc_id, text, lang)``: its counts, base_failed, failed (rules, sorted), kept."""
+    """One row per row of ``docs(doc_id, text, lang)``: its counts, base_failed, failed (rules, sorted), certified, kept."""
     counted = table(features(docs, "lang"), "quality")
     cuts = thresholds(counted, labels, risk, delta)
+    none = [F.struct(F.lit(None).cast("string").alias("of"), *[F.lit(None).cast("double").alias(f"cut_{name}") for name in GRIDS])]
     rows = [F.struct(F.lit(lang).cast("string").alias("of"), *[F.lit(c.get(name)).cast("double").alias(f"cut_{name}") for name in GRIDS]) for lang, c in cuts.items()]
-    own = docs.sparkSession.range(1).select(F.inline(F.array(*rows)))
+    own = docs.sparkSession.range(1).select(F.inline(F.array(*(rows or none)))).withColumn("certified", F.lit(bool(rows)))
     counted = counted.join(F.broadcast(own), F.col("lang").eqNullSafe(F.col("of")), "left")
     failed = [F.when(F.coalesce(value > F.col(f"cut_{name}"), F.lit(False)), F.lit(name)) for name, value in _values().items()]
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    out = counted.withColumn("base_failed", base).withColumn("failed", F.when(F.col("n_words") > 0, F.array_sort(F.array_compact(F.array(*failed)))).otherwise(F.expr("cast(array() as array<string>)")))
+    out = counted.withColumn("base_failed", base).withColumn("certified", F.coalesce("certified", F.lit(False)))
+    out = out.withColumn("failed", F.when(F.col("n_words") > 0, F.array_sort(F.array_compact(F.array(*failed)))).otherwise(F.expr("cast(array() as array<string>)")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0)).drop("of", *[f"cut_{name}" for name in GRIDS])

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from .common import ITEM_WORD, UPPER, WORD
 from .mixing import KEEP, MARGINS, ROUNDS, TEMPER
-from .quality_rules import GRIDS
+from .quality_rules import GRIDS, LEARN, STEPS
 
 _LOWER = f"translate(text, '{UPPER}', '{UPPER.lower()}')"
 
@@ -52,8 +52,8 @@ def quality(risk: float = 0.02, delta: float = 0.05) -> str:
     value = {"symbols_per_word": "n_symbols / n_words", "repeat_share": "n_repeat_words / n_words", "dup_line_share": "n_dup_lines / n_lines", "longest_mean_word": "word_chars / n_words", "shortest_mean_word": "-(word_chars / n_words)"}
     values = " union all ".join(f"select doc_id, lang, '{rule}' as rule, ({value[rule].replace('/', '::double /')}) as v from c where n_words > 0" for rule in GRIDS)
     grid = ", ".join(f"('{rule}', {i}, {cut}::double)" for rule, cuts in GRIDS.items() for i, cut in enumerate(cuts))
-    rate, tests = risk / len(GRIDS), sum(map(len, GRIDS.values()))
-    tail = f"list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({rate}) + (n - j) * ln(1 - {rate}))))"
+    sizes = ", ".join(f"('{rule}', {len(cuts)})" for rule, cuts in GRIDS.items())
+    tail = f"list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(m + 1) - lgamma(j + 1) - lgamma(m - j + 1) + j * ln({risk}) + (m - j) * ln(1 - {risk}))))"
     return f"""with t as (select doc_id, lang, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{WORD}') as w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORD}')) as l from documents),
 g as (select doc_id, unnest(range(1, len(w) - 6)) as i, unnest(list_transform(range(1, len(w) - 6), lambda i: w[i:i + 7])) as g from t where len(w) >= 8),
 again as (select doc_id, i from g qualify count(*) over (partition by doc_id, g) > 1),
@@ -61,15 +61,20 @@ rep as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(
 c as (select t.doc_id, lang, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
   len(l) as n_lines, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words from t left join rep using (doc_id)),
 val as ({values}), grid(rule, i, cut) as (values {grid}),
-good as (select doc_id from labels group by doc_id having min(quality) = 1),
-held as (select c.doc_id, c.lang from c join good using (doc_id) where n_words > 0),
-strata as (select lang, count(*) as n from held where lang is not null group by lang having count(*) * {rate} >= 1 order by n desc, lang limit 256),
-tests as (select s.lang as stratum, grid.*, s.n, (select count(*) from val join good using (doc_id) where val.lang = s.lang and val.rule = grid.rule and v > cut) as k from strata s, grid
-  union all select null, grid.*, (select count(*) from held), (select count(*) from val join good using (doc_id) where val.rule = grid.rule and v > cut) from grid),
-sure as (select stratum, rule, arg_min(cut, i) as cut from tests where n > 0 and k < n * {rate} and {tail} <= {delta} / ((select count(*) + 1 from strata) * {tests}) group by stratum, rule),
-failed as (select val.doc_id, string_agg(val.rule, ',' order by val.rule) as rules from val left join strata s on s.lang = val.lang join sure on sure.rule = val.rule and sure.stratum is not distinct from s.lang where v > cut group by val.doc_id)
+sizes(rule, n) as (values {sizes}),
+fails as (select val.doc_id, val.lang, val.rule, count(*) filter (v > cut) as f from val join grid using (rule) group by all),
+good as (select doc_id, ('0x' || substr(md5(concat('quality:', doc_id)), 1, 8))::bigint % {LEARN} = 0 as learns from labels where doc_id is not null group by doc_id having min(quality) = 1),
+held as (select fails.*, learns from fails join good using (doc_id)),
+strata as (select lang, count(distinct doc_id) filter (learns) as n, count(distinct doc_id) filter (not learns) as m from held group by lang having count(distinct doc_id) filter (not learns) >= ceil(ln({delta}) / ln(1 - {risk}))),
+beyond as (select s.lang, grid.rule, grid.i, s.n, (select count(*) from held where held.lang is not distinct from s.lang and held.rule = grid.rule and learns and f > grid.i) as k from strata s, grid),
+proposed as (select s.lang, sizes.rule, coalesce((select min(i) from beyond b where b.lang is not distinct from s.lang and b.rule = sizes.rule and k <= {risk / (2 * len(GRIDS))} * b.n), sizes.n) as p from strata s, sizes),
+step as (select held.doc_id, held.lang, max(f - p) as step from held join proposed p on p.lang is not distinct from held.lang and p.rule = held.rule where not learns group by all),
+tests as (select s.lang, st.s, s.m, (select count(*) from step where step.lang is not distinct from s.lang and step.step > st.s) as k from strata s, range(0, {STEPS + 1}) st(s)),
+broken as (select lang, coalesce(max(s) filter (k >= m * {risk} or {tail} > {delta} / (select count(*) from strata)), -1) + 1 as s from tests group by lang),
+sure as (select p.lang, p.rule, p.p + b.s as i from proposed p join broken b on b.lang is not distinct from p.lang where b.s <= {STEPS}),
+failed as (select fails.doc_id, string_agg(fails.rule, ',' order by fails.rule) as rules from fails join sure on sure.rule = fails.rule and sure.lang is not distinct from fails.lang join sizes on sizes.rule = fails.rule and sure.i < sizes.n where f > sure.i group by fails.doc_id)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, coalesce(rules, '') as failed_rules,
-not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and rules is null as kept from c left join failed using (doc_id)"""
+exists (select 1 from sure where sure.lang is not distinct from c.lang) as certified, not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and rules is null as kept from c left join failed using (doc_id)"""
 
 
 def near_dups(k: int = 4, percent: int = 80) -> str:
