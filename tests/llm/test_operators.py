@@ -302,6 +302,24 @@ def test_language_identification(spark, empty):
     assert {r.lang_pred for r in language_id.identify(df, none).collect()} == {"und"} and language_id.identify(empty, model).count() == 0
 
 
+def test_texts_in_no_language_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit(docs)
+    clean = [r.text for r in docs.where("crc32(cast(cast(doc_id as string) as binary)) % 3 = 1 and length(text) > 100").select("text").collect()]
+    r = random.Random(13)
+
+    def shuffled(text):
+        x = [c for c in text if c.isalpha()]
+        r.shuffle(x)
+        return " ".join("".join(x[i : i + 6]) for i in range(0, min(600, len(x)), 6))
+
+    strange = [shuffled(t) for t in clean[:60]] + ["asdf " * n for n in range(4, 34)] + ["qwertyuiop" * n for n in range(3, 23)] + [f"def foo_{i}(x): return x + {i} if x > {i} else bar[x]" for i in range(30)]
+    strange += [" ".join("".join(r.choice("zxqjkvwbp") for _ in range(6)) for _ in range(20)) for _ in range(30)]
+    names, scores = model.predict(clean + strange)
+    out = np.array(scores) < model.reject_below
+    assert out[: len(clean)].mean() <= 0.01 and out[len(clean) :].mean() >= 0.9, (out[: len(clean)].mean(), out[len(clean) :].mean(), model.reject_below)
+
+
 def test_toxicity(spark, empty):
     marks = ["vile", "rotten", "filthy"]
     rows, labels = [], []

@@ -3,8 +3,10 @@
 Features are the letter 1- to 3-grams of each word, with word boundaries, hashed into ``BUCKETS`` rows of an embedding.
 A text is the mean of its grams' rows; a linear softmax gives class probabilities. Both are trained together by
 stochastic gradient descent in numpy on the driver, over a bounded sample of labelled texts (``per_lang`` a language).
-A second part of the labelled texts sets the softmax temperature and the rejection threshold, the largest one that
-rejects at most ``max_rejected`` of these texts; it never exceeds one half.
+Beside the languages there is a class of strangers: each sampled text also gives one text that is in no language, by a hash
+of it with its letters shuffled, as words of random letters, as a few keys repeated, or as program code. A text's score is
+its language's probability with strangers among the classes. A second part of the labelled texts, and of their strangers,
+sets the softmax temperature; the rejection threshold is the score below which ``max_rejected`` of its languages' texts lie.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0 and rejected. Without labelled texts all
 texts are ``und``. Texts are used whole, in training too. Rows are independent: repeated rows get equal results, and an
@@ -13,6 +15,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -26,8 +29,11 @@ BUCKETS, DIM = 1 << 14, 16
 UNKNOWN = "und"
 #: Training: texts in a step, least number of steps, and the rate, which each weight divides by its gradients' root sum of squares.
 BATCH, STEPS, RATE = 32, 1200, 0.1
-#: Labelled texts that training may use, for each language; the most frequent languages only.
-PER_LANG, MOST_LANGS = 800, 256
+#: Labelled texts that training may use, for each language.
+PER_LANG = 800
+#: Pieces of program code, of which strangers are made.
+CODE = ["if (x == 0) {", "return self.value", "for (int i = 0; i < n; i++)", "import os, sys", "} else {", "def run(a, b=None):", "std::vector<double> v;", "SELECT id FROM t WHERE k = 1;", "x += y[i] * 2", "public static void main(String[] args)",
+    "<div class=\"row\">", "const f = (a) => a.b;", "print(len(x))", "#include <stdio.h>", "while (p != NULL)", "try: pass", "fn main() -> u32 {", "0x3f00ff", "assert x is not None", "while read -r f; do"]
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _SHIFT = np.uint64(64 - 14)
 
@@ -76,6 +82,23 @@ def _groups(texts: list[str | None], most: int = 1 << 19) -> Iterator[list[str |
         yield group
 
 
+def stranger(text: str) -> str:
+    """A text in no language, made from ``text`` and always the same."""
+    seed = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    rng = np.random.default_rng(seed)
+    words = min(300, max(3, text.count(" ")))
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    kind = seed % 4
+    if kind == 0:
+        held = np.array([c for c in text.lower() if c.isalpha()] or ["x"])
+        return " ".join("".join(rng.choice(held, n)) for n in rng.integers(1, 11, words))
+    if kind == 1:
+        return " ".join("".join(rng.choice(letters, n)) for n in rng.integers(1, 11, words))
+    if kind == 2:
+        return (" " * int(rng.integers(2))).join(["".join(rng.choice(letters, int(rng.integers(2, 8))))] * words)
+    return "\n".join(rng.choice(CODE, max(1, words // 4)))
+
+
 def counts(texts: list[str | None]) -> Iterator[np.ndarray]:
     for group in _groups(texts):
         b, ends = grams(group)
@@ -86,7 +109,7 @@ def counts(texts: list[str | None]) -> Iterator[np.ndarray]:
 @dataclass
 class Model:
     langs: list[str]
-    table: np.ndarray  # a row of class scores for each bucket, divided by the temperature
+    table: np.ndarray  # a row of class scores for each bucket, divided by the temperature; strangers are the last class
     bias: np.ndarray
     reject_below: float
 
@@ -101,17 +124,20 @@ class Model:
             z = (c / total) @ self.table + self.bias
             p = np.exp(z - z.max())
             p /= p.sum()
-            names.append(self.langs[int(p.argmax())])
-            scores.append(float(p.max()))
+            best = int(p[: len(self.langs)].argmax())
+            names.append(self.langs[best])
+            scores.append(float(p[best]))
         return names, scores
 
 
-def train(rows: list[tuple[str, bool, np.ndarray, np.ndarray]], max_rejected: float, epochs: int = 12, seed: int = 7) -> Model:
-    """``rows``: language, whether it calibrates, its buckets and their counts."""
-    langs = sorted({r[0] for r in rows})
+def train(rows: list[tuple[str | None, bool, np.ndarray, np.ndarray]], max_rejected: float, epochs: int = 12, seed: int = 7) -> Model:
+    """``rows``: language (None for a stranger), whether it calibrates, its buckets and their counts."""
+    langs = sorted({r[0] for r in rows if r[0] is not None})
     if not langs:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 0.0)
-    y = np.array([langs.index(r[0]) for r in rows])
+        return Model([], np.zeros((BUCKETS, 1)), np.zeros(1), 0.0)
+    at = {lang: i for i, lang in enumerate([*langs, None])}
+    classes = len(at)
+    y = np.array([at[r[0]] for r in rows])
     held = np.array([r[1] for r in rows])
     if held.all() or not held.any():  # too few to set any aside
         held[:] = False
@@ -124,10 +150,10 @@ def train(rows: list[tuple[str, bool, np.ndarray, np.ndarray]], max_rejected: fl
 
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
-    w = rng.normal(0, 0.1, (DIM, len(langs))).astype(np.float32)
-    c = np.zeros(len(langs), np.float32)
+    w = rng.normal(0, 0.1, (DIM, classes)).astype(np.float32)
+    c = np.zeros(classes, np.float32)
     fit = np.flatnonzero(~held)
-    weight = len(fit) / (len(langs) * np.maximum(1, np.bincount(y[fit], minlength=len(langs))))  # languages count alike
+    weight = len(fit) / (classes * np.maximum(1, np.bincount(y[fit], minlength=classes)))  # languages count alike
     squares = [np.full(v.shape, 1e-6, np.float32) for v in (e, w, c)]
     for _ in range(max(epochs, -(-STEPS * BATCH // max(1, len(fit))))):
         for at in np.array_split(rng.permutation(fit), max(1, len(fit) // BATCH)):
@@ -154,9 +180,9 @@ def train(rows: list[tuple[str, bool, np.ndarray, np.ndarray]], max_rejected: fl
 
     loss = {t: -np.log(np.maximum(probabilities(t)[np.arange(len(check)), y[check]], 1e-12)).mean() for t in np.geomspace(0.25, 8, 21)}
     t = min(loss, key=loss.get)
-    best = np.sort(probabilities(t).max(axis=1))
-    below = float(best[min(len(best) - 1, int(max_rejected * len(best)))])
-    return Model(langs, (scores / t).astype(np.float64), (c / t).astype(np.float64), min(0.5, below))
+    best = np.sort(probabilities(t)[y[check] < len(langs), : len(langs)].max(axis=1))
+    below = float(best[min(len(best) - 1, int(max_rejected * len(best)))]) if len(best) else 0.0
+    return Model(langs, (scores / t).astype(np.float64), (c / t).astype(np.float64), below)
 
 
 def remainder(doc_id: Column) -> Column:
@@ -164,22 +190,22 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG, max_rejected: float = 0.001) -> Model:
+def fit(docs: DataFrame, per_lang: int = PER_LANG, max_rejected: float = 0.002) -> Model:
     """Learns from ``docs(doc_id, text, lang)`` whose remainder is 0 (training) or 2 (calibration)."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).withColumn("part", remainder(F.col("doc_id"))).where("part != 1")
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
+    sizes = known.groupBy("lang").count().collect()  # one row a language
     if not sizes:
         return train([], max_rejected)
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_lang / r["count"]))).otherwise(share)
+    share = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_lang / r["count"]))]), F.col("lang"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     sample = known.where(draw < share).select("lang", "part", "text").limit(2 * per_lang * len(sizes))
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(np.flatnonzero(c).astype(np.int32), c[c > 0].astype(np.int32)) for c in counts(b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1).cast(pa.int64()), *(pa.array([f[i] for f in found], pa.list_(pa.int32())) for i in (0, 1))], ["lang", "part", "buckets", "n"])
+            texts = b.column(2).to_pylist()
+            for langs, of in ((b.column(0).cast(pa.string()), texts), (pa.nulls(len(texts), pa.string()), [stranger(t) for t in texts])):
+                found = [(np.flatnonzero(c).astype(np.int32), c[c > 0].astype(np.int32)) for c in counts(of)]
+                yield pa.RecordBatch.from_arrays([langs, b.column(1).cast(pa.int64()), *(pa.array([f[i] for f in found], pa.list_(pa.int32())) for i in (0, 1))], ["lang", "part", "buckets", "n"])
 
     got = sample.mapInArrow(featurize, "lang string, part long, buckets array<int>, n array<int>").toArrow()
     rows = [(lang, part == 2, b.values.to_numpy(), n.values.to_numpy()) for lang, part, b, n in zip(got["lang"].to_pylist(), got["part"].to_pylist(), got["buckets"], got["n"]) if len(b)]
