@@ -270,9 +270,9 @@ def test_banded_automaton(spark):
     assert all(row[f"w{k}"] == (row.d <= k) for row in got for k in (1, 2, 3))
 
 
-@pytest.mark.parametrize("n, k", [(40, 8), (100, 16)])
-def test_repeats(docs, empty, n, k):
-    got = remove_repeats(docs, n, k).select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("gone"), F.size("starts").alias("spans"), F.sha2("kept", 256).alias("sha"))
+@pytest.mark.parametrize("n, k, hot", [(40, 8, 4096), (40, 8, 1), (100, 16, 2)])
+def test_repeats(docs, empty, n, k, hot):
+    got = remove_repeats(docs, n, k, hot).select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("gone"), F.size("starts").alias("spans"), F.sha2("kept", 256).alias("sha"))
     assert by_id(got, "n_bytes", "gone", "spans", "sha") == brute.repeats(ROWS, n)
     assert remove_repeats(empty).count() == 0
 
@@ -280,7 +280,7 @@ def test_repeats(docs, empty, n, k):
 def test_repeats_in_small_alphabets(spark):
     r = random.Random(8)
     rows = [(i, "".join(r.choice("ab") for _ in range(r.randint(0, 400)))) for i in range(30)] + [(90, "ab" * 100), (91, "a" * 77), (92, "b" + "ab" * 50)]
-    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 14, 4).select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("gone"), F.size("starts").alias("spans"), F.sha2("kept", 256).alias("sha"))
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 14, 4, 2).select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("gone"), F.size("starts").alias("spans"), F.sha2("kept", 256).alias("sha"))
     assert by_id(got, "n_bytes", "gone", "spans", "sha") == brute.repeats(rows, 14)
 
 

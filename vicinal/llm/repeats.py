@@ -5,15 +5,23 @@ Every byte covered by an n-byte string that also starts elsewhere is found, in w
 1. Alignment. Each n-byte window has an anchor: the k-byte string with the least hash in it (the last, on ties). Equal
    windows have equal anchors at equal offsets, so a window can only be repeated among the contexts of its anchor. Anchors
    that occur once end here; with k = 64 that is nearly all of a clean text.
-2. Equal contexts collapse to one document with a count. A context that occurs twice is repeated as a whole.
+2. Equal contexts collapse to one document with a count. A context that occurs twice is repeated as a whole. Equality is
+   that of two 64-bit hashes together, the anchor's and the context's.
 3. The other contexts of an anchor form a collection, aligned on the anchor. Column by column from the right, one symbol
    per document is inserted: the documents' order by their suffixes is the previous order, stably sorted by the inserted
    symbols, which are that column of the collection's transform; common prefixes with the neighbour in that order grow by
-   one where the symbols agree, and are otherwise taken as the least over the documents in between. As only equally
-   aligned suffixes can share n bytes, only the current column's part of the transform is kept. Columns are read from,
+   one where the symbols agree, and are otherwise taken as the least over the documents in between. Columns are read from,
    and marks written to, sequential files in the task's temporary folder, which go when the task ends.
 4. A window is repeated if its common prefix with a neighbour reaches n. Marks go back to all occurrences of a context.
 
+An anchor with more than ``hot`` different contexts (a short text that stands everywhere) is no collection of one task:
+its windows are dealt by where the anchor lies in them, ``NARROW`` places together, and by all the bytes that these have in
+common, so only windows that share nearly n bytes still meet.
+
+This departs from the plain column-wise construction, which inserts a symbol a document and round over whole texts, and so
+takes as many rounds over all files as the longest text has bytes: here the rounds are over aligned contexts of at most
+2 n - k bytes, only the current column's part of the transform is kept, and that with the common prefixes in memory.
+
 Defined results: a null text is empty. Texts under n bytes have no window. Matches never cross documents. Rows that
 share a doc_id must be copies of each other, and count as several occurrences; a null doc_id is an id of its own. An
 empty table gives an empty result.
@@ -21,6 +29,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 from collections.abc import Iterator
 
@@ -33,6 +42,9 @@ from .common import blocks, mix, powers, prefix_hash, table
 
 _DOC = "coalesce(doc_id, 9223372036854775807L)"
 _FAR = np.uint64(0xFFFFFFFF)
+#: Places of the anchor in a window that are dealt together, under an anchor with many contexts.
+NARROW = 42
+BITES = "g long, a long, c long, base int, off int, bytes binary"
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, n: int, k: int) -> tuple[np.ndarray, ...]:
@@ -117,6 +129,28 @@ def _contexts(n: int, k: int):
     return run
 
 
+def _narrowed(n: int):
+    """Contexts of anchors with many of them, cut by where the anchor lies in the windows; ``base`` is the first window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in range(6)]
+            for a, c, off, raw in zip(*(x.to_pylist() for x in batch.columns)):
+                last = len(raw) - n  # window w has the anchor at off - w
+                for near in range(max(0, off - last) // NARROW, off // NARROW + 1):
+                    first, end = max(0, off - near * NARROW - NARROW + 1), min(last, off - near * NARROW)
+                    if first > end:
+                        continue
+                    shared = raw[off - near * NARROW : off - near * NARROW - NARROW + 1 + n]
+                    key = hashlib.blake2b(a.to_bytes(8, "little", signed=True) + bytes([near]) + shared, digest_size=8).digest()
+                    for to, x in zip(out, (int.from_bytes(key, "little", signed=True), a, c, first, off - first, raw[first : end + n])):
+                        to.append(x)
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], ["g", "a", "c", "base", "off", "bytes"])
+
+    return run
+
+
 class Columns:
     """Aligned documents in sequential files, one file a block of documents, last column first."""
 
@@ -200,21 +234,21 @@ def _runs(x: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def _marked(n: int, k: int, most: int = 1 << 14):
-    """From contexts sorted by anchor, the runs of repeated windows of each."""
+    """From contexts sorted by group, the runs of repeated windows of each."""
 
-    def flush(a: list[int], c: list[int], off: list[int], bites: list[bytes]) -> pa.RecordBatch:
-        group = np.cumsum(np.append(0, np.diff(np.array(a)) != 0))
-        rows = [(a[i], c[i], *_runs(s)) for i, s in repeated_starts(group, bites, np.array(off), n, k)]
+    def flush(g: list[int], a: list[int], c: list[int], base: list[int], off: list[int], bites: list[bytes]) -> pa.RecordBatch:
+        group = np.cumsum(np.append(0, np.diff(np.array(g)) != 0))
+        rows = [(a[i], c[i], *_runs(s + base[i])) for i, s in repeated_starts(group, bites, np.array(off), n, k)]
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["a", "c", "b", "e"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, list, list, list] = ([], [], [], [])
+        held: tuple[list, ...] = tuple([] for _ in range(6))
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if len(held[0]) >= most and row[0] != held[0][-1]:
                     yield flush(*held)
-                    held = ([], [], [], [])
+                    held = tuple([] for _ in range(6))
                 for to, x in zip(held, row):
                     to.append(x)
         if held[0]:
@@ -252,16 +286,26 @@ def _applied(n: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, n: int = 400, k: int = 64) -> DataFrame:
+def remove_repeats(docs: DataFrame, n: int = 400, k: int = 64, hot: int = 4096) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_bytes, starts and ends of removed runs, kept bytes."""
     texts = docs.select("doc_id", "text", F.expr(_DOC).alias("doc"))
-    found = texts.select("doc", "text").mapInArrow(_anchored(n, k), "doc long, a long, c long, lo array<int>, hi array<int>")
-    occurrences = table(found.withColumn("n", F.expr("sum(size(lo)) over (partition by a)")).where("n > 1").drop("n"), "occurrences")
+    found = table(texts.select("doc", "text").mapInArrow(_anchored(n, k), "doc long, a long, c long, lo array<int>, hi array<int>"), "anchors")
+    again = table(found.groupBy("a").agg(F.sum(F.size("lo")).alias("n")).where("n > 1").select("a"), "repeated")
+    occurrences = table(found.join(again, "a", "left_semi").select("doc", "a", "c", "lo", "hi"), "occurrences")
     kinds = table(occurrences.groupBy("a", "c").agg(F.sum(F.size("lo")).alias("copies"), F.min("doc").alias("doc")), "contexts")
-    mixed = kinds.groupBy("a").agg(F.count(F.lit(1)).alias("kinds"), F.min("copies").alias("least")).where("kinds > 1 and least = 1").select("a")
-    wanted = kinds.join(mixed, "a", "left_semi").groupBy("doc").agg(F.collect_list("c").alias("wanted"))
+    mixed = table(kinds.groupBy("a").agg(F.count(F.lit(1)).alias("kinds"), F.min("copies").alias("least")).where("kinds > 1 and least = 1"), "mixed")
+    wanted = kinds.join(mixed.select("a"), "a", "left_semi").groupBy("doc").agg(F.collect_list("c").alias("wanted"))
     bites = texts.select("doc", "text").join(wanted.hint("shuffle_hash"), "doc").select("doc", "text", "wanted").mapInArrow(_contexts(n, k), "a long, c long, off int, bytes binary")
-    marks = table(bites.repartition("a").sortWithinPartitions("a", "c").mapInArrow(_marked(n, k), "a long, c long, b array<int>, e array<int>"), "marks")
+    many = mixed.where(F.col("kinds") > hot).select("a")
+    whole = [F.col("a").alias("g"), "a", "c", F.lit(0).alias("base"), "off", "bytes"]
+    if many.limit(1).count():
+        bites = table(bites, "bites")
+        cut = bites.join(many, "a", "left_semi").select("a", "c", "off", "bytes").mapInArrow(_narrowed(n), BITES)
+        grouped = bites.join(many, "a", "left_anti").select(*whole).union(cut)
+    else:
+        grouped = bites.select(*whole)
+    marks = grouped.repartition("g").sortWithinPartitions("g", "a", "c", "base").mapInArrow(_marked(n, k), "a long, c long, b array<int>, e array<int>")
+    marks = table(marks, "marks").groupBy("a", "c").agg(F.flatten(F.collect_list("b")).alias("b"), F.flatten(F.collect_list("e")).alias("e"))
     verdicts = kinds.select("a", "c", "copies").join(marks, ["a", "c"], "left").where("copies > 1 or b is not null")
     ranges = F.expr("if(copies > 1, arrays_zip(lo, hi), transform(arrays_zip(b, e), r -> struct(lo[0] + r.b as lo, lo[0] + r.e as hi)))")
     lists = occurrences.join(verdicts, ["a", "c"]).groupBy("doc").agg(F.flatten(F.collect_list(ranges)).alias("r"))
