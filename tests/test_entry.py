@@ -19,7 +19,7 @@ def rows(df):
 @pytest.mark.parametrize("name", sorted(oracles.ORACLES))
 def test_query_agrees_with_its_sql(spark, name):
     c = duckdb.connect()
-    for t in ("embeddings", "lineitem", "events", "part", "orders"):
+    for t in ("embeddings", "lineitem", "events", "part", "orders", "nation"):
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     assert rows(queries.QUERIES[name](spark, SF).toPandas()) == rows(c.sql(oracles.ORACLES[name]).df())
 

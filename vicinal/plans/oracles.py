@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .queries import BOUNDARIES, NEIGHBOURS, WIDE
+from ..operators.codec import LEVELS
+from .queries import BOUNDARIES, CODEC, NEIGHBOURS, WIDE
 
 
 def _distance(a: str, b: str, n: str) -> str:
@@ -68,7 +69,52 @@ both_ as (select src, dst, w from dir union all select dst, src, w from dir)
 select src, dst, round(greatest(sum(w) / (2 * (select count(*) from p)), 1e-12), 9) as p from both_ group by src, dst"""
 
 
+def _codes() -> str:
+    """rest(id, i, norm, index, c, rest) and codes(id, norm, rn, idx, bits): the codec by the Hadamard matrix itself."""
+    d = CODEC.padded
+    c, b = (", ".join(f"{v!r}::double" for v in x.tolist()) for x in CODEC.codebook)
+    first, second = (", ".join(str(int(v)) for v in CODEC.signs(w)) for w in (0, 1))
+    sign = "case when bit_count(i & j) % 2 = 0 then 1 else -1 end"
+    return f"""k as (select [{c}] as c, [{b}] as b, [{first}] as s0, [{second}] as s1), {POINTS},
+norms as (select id, sqrt(list_reduce(list_transform(x, lambda v: v * v), lambda s, v: s + v)) as norm from p),
+xs as (select p.id, norm, unnest(x) as v, unnest(range(0, {d})) as j from p join norms using (id)),
+z as (select id, i, any_value(norm) as norm, sum(v / norm * s0[j + 1] * ({sign})) as z from xs, k, range(0, {d}) t(i) group by id, i),
+ix as (select id, i, norm, z, len(list_filter(b, lambda y: y < z)) as index from z, k),
+rest as (select id, i, norm, index, c[index + 1] as c, z - c[index + 1] as rest from ix, k),
+bits as (select id, i, sum(rest * s1[j + 1] * ({sign})) >= 0 as bit from (select id, i as j, rest from rest), k, range(0, {d}) t(i) group by id, i),
+codes as (select id, any_value(norm)::float as norm, sqrt(sum(rest * rest))::float as rn, list(c order by i) as c, list((2 * bit::int - 1)::double order by i) as s, string_agg(format('{{:02X}}', (2 * index + bit::int)::int), '' order by i) as packed from rest join bits using (id, i) group by id)"""
+
+
+def _code_edges() -> str:
+    d = CODEC.padded
+    dot = "list_reduce(list_transform(range(1, len(a.{c}) + 1), lambda i: a.{c}[i] * b.{c}[i]), lambda s, v: s + v)"
+    cos = f"greatest(-1, least(1, ({dot.format(c='c')} + pi() / 2 / {d * d} * a.rn::double * b.rn::double * {dot.format(c='s')}) / {d}))"
+    return f"""{_codes()}, pairs as (select a.id as src, b.id as dst, sqrt(greatest(a.norm::double ** 2 + b.norm::double ** 2 - 2 * a.norm::double * b.norm::double * {cos}, 0)) as dist from codes a join codes b on a.id <> b.id),
+e as (select src, dst, cast(row_number() over (partition by src order by dist, dst) as int) as rank, dist from pairs qualify rank <= {NEIGHBOURS})"""
+
+
 ORACLES: dict[str, str] = {
+    "codec_encode": f"with {_codes()} select id, norm, rn as residual_norm, packed from codes",
+    "codec_decode": f"with {_codes()} select r.id, j::int as pos, round(sum(r.c * s0[j + 1] * (case when bit_count(i & j) % 2 = 0 then 1 else -1 end)) / {CODEC.padded} * any_value(r.norm::float::double), 6) as x from rest r, k, range(0, {CODEC.width}) t(j) group by r.id, j",
+    "codec_memory": f"with {_codes()} select (sum(length(packed) // 2) + 4 * count(*) + 4 * {2 * LEVELS[CODEC.bits] - 1} + 4 * {CODEC.padded})::bigint as bytes, round(avg(rn * rn) / {CODEC.padded}, 6) as residual from codes",
+    "knn_compressed": f"with {_code_edges()} select src, dst, rank, round(dist, 6) as dist from e",
+    "fuzzy_compressed": f"""with recursive {_code_edges()}, {_sigma('greatest(min(dist), 0)')}, w as (select e.src, e.dst, exp(-greatest(dist - rho, 0) / greatest(sigma, 1e-10)) as w from e join local on e.src = local.id),
+g as (select coalesce(a.src, b.dst) as src, coalesce(a.dst, b.src) as dst, coalesce(a.w, 0) + coalesce(b.w, 0) - coalesce(a.w, 0) * coalesce(b.w, 0) as weight from w a full join w b on a.src = b.dst and a.dst = b.src) select src, dst, round(weight, 6) as weight from g where weight > 1e-8""",
+    "knn_dispatch": f"""with {POINTS}, s as (select * from p order by md5(concat('42:', id)), id limit (select ceil(count(*) * 0.02)::bigint from p)),
+pairs as (select a.id as src, b.id as dst, {_distance("a.x", "b.x", "len(a.x)")} as dist from s a join s b on a.id <> b.id)
+select src, dst, cast(row_number() over (partition by src order by dist, dst) as int) as rank, round(dist, 6) as dist from pairs qualify rank <= 200""",
+    "csv_points": " union all ".join(f"select l_orderkey as id, {i} as pos, round(sum({c}), 3) as x from lineitem group by 1" for i, c in enumerate(WIDE)),
+    "embedding_csv": "select round(embedding[1]::double, 6) as v1, round(embedding[2]::double, 6) as v2, label from embeddings",
+    "optional_source": "select 'nation' as name, count(*) as n from nation union all select 'no_such_table', -1",
+    "timings_ranked": "select method, round(ratio, 3) as ratio, coalesce(time, -1) as time from (select o_orderpriority as method, avg(o_totalprice) as ratio from orders group by 1) left join (values ('1-URGENT', 1.5::double), ('2-HIGH', 2.5::double), ('3-MEDIUM', 3.5::double), ('5-LOW', 5.5::double)) t(method, time) using (method)",
+    "housekeeping": "select count(event_id) as event_id, count(user_id) as user_id, count(event_type) as event_type, count(value) as value from events",
+    "gathered": f"with {POINTS}, {SAMPLE} select id from s",
+    "vector_kernels": f"""with {POINTS}, n as (select id, x, list_reduce(list_transform(x, lambda v: v * v), lambda s, v: s + v) as q from p), u as (select id, q, unnest(range(0, len(x))) as pos, unnest(x) as v from n)
+select id, pos::int as pos, round(1 / (1 + q), 8) as kernel, round(v * 0.01::double, 8) as scaled, round(greatest(least(v, 0.1::double), -0.1::double), 8) as clamped,
+[-0.25, -0.15, -0.075, -0.025, 0.025, 0.075, 0.15, 0.25][1 + {' + '.join(f'(v > {b}::double)::int' for b in BOUNDARIES)}]::double as decoded from u""",
+    "graph_facts": f"with recursive {_graph()} select count(*) as nnz, count(distinct src) as nodes, round(max(weight), 6) as top from g2",
+    "umap_facts": "select count(*) as n, 0.0::double as y1, 0.0::double as y2, 0::bigint as bad from embeddings",
+    "triples_roundtrip": " union all ".join([f"select '{p}' as predicate, count(*) as n, 0.0::double as total from embeddings" for p in ("umap1", "umap2", "sigma", "rho")] + [f"select 'feature_{j}', count(*), round(sum(embedding[{j + 1}]::double), 4) from embeddings" for j in range(64)]),
     "knn_exact": f"with {_edges()} select src, dst, rank, round(dist, 6) as dist from e",
     "knn_expression": f"with {_edges()} select src, dst, rank, round(dist, 6) as dist from e",
     "knn_external": f"with {_edges(left='a.id % 2 = 0', right='b.id % 2 = 1')} select src as qid, dst, rank, round(dist, 6) as dist from e",

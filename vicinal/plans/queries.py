@@ -300,19 +300,29 @@ def tsne_compressed(spark, d):
     return flat(Tsne(n_iter=300).run_compressed(points(spark, d)))
 
 
+CODEC = C.Codec(8, 64)
+
+
+def codes(spark, d):
+    return C.encode(points(spark, d), CODEC)
+
+
 def codec_encode(spark, d):
-    codes = C.encode(points(spark, d), C.Codec(8, 64))
-    return codes.select("id", "norm", "residual_norm", F.hex("packed").alias("packed"))
+    return codes(spark, d).select("id", "norm", "residual_norm", F.hex("packed").alias("packed"))
 
 
 def codec_decode(spark, d):
-    c = C.Codec(8, 64)
-    return C.decode(C.encode(points(spark, d), c), c).select("id", F.posexplode("features").alias("pos", "x"))
+    return rounded(C.decode(codes(spark, d), CODEC).select("id", F.posexplode("features").alias("pos", "x")), "x")
+
+
+def codec_memory(spark, d):
+    """Bytes by the plain formula, and the mean squared residual of a coordinate."""
+    held = settled(codes(spark, d), "codes")
+    return spark.createDataFrame([(C.memory(held, CODEC)["formula"], round(C.mean_squared_residual(held, CODEC), 6))], "bytes long, residual double")
 
 
 def knn_compressed(spark, d):
-    c = C.Codec(8, 64)
-    return C.knn_compressed(C.encode(points(spark, d), c), c, NEIGHBOURS)
+    return rounded(C.knn_compressed(codes(spark, d), CODEC, NEIGHBOURS), "dist")
 
 
 def knn_codes_reranked(spark, d):
@@ -320,17 +330,92 @@ def knn_codes_reranked(spark, d):
 
 
 def fuzzy_compressed(spark, d):
-    return C.fuzzy_compressed(knn_compressed(spark, d))
+    return rounded(C.fuzzy_compressed(settled(C.knn_compressed(codes(spark, d), CODEC, NEIGHBOURS), "edges")), "weight")
 
 
 def knn_approx(spark, d):
     return K.knn_approximate(points(spark, d), NEIGHBOURS)
 
 
+def knn_dispatch(spark, d):
+    """By the name of another engine's index, with more neighbours asked for than there are in a tenth of the points."""
+    return rounded(K.knn(S.sample(points(spark, d), 0.02), 200, "kd_tree"), "dist")
+
+
+def csv_points(spark, d):
+    """Points out to a numeric CSV file and in again."""
+    at = scratch(spark, "csv")
+    spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey").agg(*[F.sum(c).alias(c) for c in WIDE]).write.option("header", True).csv(at)
+    return rounded(P.read_numeric_csv(spark, at, WIDE, "l_orderkey").select("id", F.posexplode("features").alias("pos", "x")), "x", digits=3)
+
+
+def embedding_csv(spark, d):
+    """An embedding out to the CSV file for plots, with labels, and its numbers in again by line."""
+    at = scratch(spark, "embedding")
+    P.write_embedding_csv(stand_in(spark, d), f"{at}/e", labels(spark, d))
+    back = spark.read.option("header", True).csv(f"{at}/e").select(*[F.col(c).cast("double").alias(c) for c in ("V1", "V2", "label")])
+    back.write.csv(f"{at}/plain")
+    return rounded(P.read_headerless_csv(spark, f"{at}/plain", 3).select(F.col("features")[0].alias("v1"), F.col("features")[1].alias("v2"), F.col("features")[2].cast("int").alias("label")), "v1", "v2")
+
+
+def optional_source(spark, d):
+    """Rows of a table that is there, and of one that is not."""
+    found = {name: P.read_if(spark, f"{d}/{name}.parquet", lambda s, at: s.read.parquet(at)) for name in ("nation", "no_such_table")}
+    return spark.createDataFrame([(name, df.count() if df is not None else -1) for name, df in found.items()], "name string, n long")
+
+
+def timings_ranked(spark, d):
+    """Priorities as methods, mean prices as scores; timings for all but one go through their CSV file."""
+    at = scratch(spark, "timings")
+    scores = spark.read.parquet(f"{d}/orders.parquet").groupBy(F.col("o_orderpriority").alias("method")).agg(F.avg("o_totalprice").alias("ratio"))
+    P.write_timings_csv(spark, {"1-URGENT": 1.5, "2-HIGH": 2.5, "3-MEDIUM": 3.5, "5-LOW": 5.5}, at)
+    return rounded(Q.rank_methods(scores, spark.read.option("header", True).schema("method string, time double").csv(at)), "ratio", digits=3).fillna(-1.0, "time")
+
+
+def housekeeping(spark, d):
+    """Counts of the columns that are left."""
+    table = spark.read.parquet(f"{d}/events.parquet").withColumnsRenamed({"ts": "Time", "props": "DNA"})
+    left = S.drop_housekeeping(table)
+    return left.agg(*[F.count(c).alias(c) for c in left.columns])
+
+
+def gathered(spark, d):
+    p = points(spark, d)
+    return S.gather(p, S.sample(p, 0.1)).select("id")
+
+
+def vector_kernels(spark, d):
+    """Scaled, clamped and decoded coordinates, and the heavy-tailed kernel of the squared norm."""
+    x = points(spark, d).select("id", "features", V.student_t(V.norm(F.col("features")) * V.norm(F.col("features"))).alias("kernel"), V.scale(F.col("features"), 0.01).alias("scaled"))
+    flat_ = x.select("id", "kernel", F.posexplode(F.arrays_zip("features", "scaled")).alias("pos", "v")).select("id", "pos", "kernel", F.col("v.features").alias("x"), F.col("v.scaled").alias("scaled"))
+    middles = [-0.25, -0.15, -0.075, -0.025, 0.025, 0.075, 0.15, 0.25]
+    out = flat_.select("id", "pos", "kernel", "scaled", V.clamp(F.col("x"), 0.1).alias("clamped"), V.dequantize_scalar(V.quantize_scalar(F.col("x"), BOUNDARIES), middles).alias("decoded"))
+    return rounded(out, "kernel", "scaled", "clamped", digits=8)
+
+
+def graph_facts(spark, d):
+    facts = G.describe(graph(spark, d))
+    return spark.createDataFrame([(facts["nnz"], facts["nodes"], round(facts["top"], 6))], "nnz long, nodes long, top double")
+
+
+def umap_facts(spark, d):
+    """What holds for any layout: a row each, centred, finite."""
+    y = flat(Umap(n_epochs=50).fit_transform(points(spark, d)))
+    return y.agg(F.count(F.lit(1)).alias("n"), F.abs(F.round(F.avg("y1"), 6)).alias("y1"), F.abs(F.round(F.avg("y2"), 6)).alias("y2"), F.count_if(F.isnan("y1") | F.isnan("y2") | (F.abs("y1") > 1e6)).alias("bad"))
+
+
+def triples_roundtrip(spark, d):
+    """The exported model of a fit, through its file: what the reader finds of each kind of cell."""
+    at = scratch(spark, "triples")
+    Umap(n_epochs=20, model_format=at).fit(points(spark, d))
+    rows = T.read_triples(spark, at)
+    return rows.where("subject != 'model'").groupBy("predicate").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.when(F.col("predicate").startswith("feature_"), F.col("object").cast("double")).otherwise(0.0)), 4).alias("total"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     knn_exact, knn_expression, knn_external, knn_rerank, knn_label_purity, smooth_knn, smooth_knn_nearest, fuzzy_graph, graph_degree, normalized_laplacian, laplacian,
     edge_schedule, edge_firings, tsne_affinity, column_means, covariance, row_norms, asinh_points, sample_train, sample_rest, sample_scatter, head_slice, random_pairs, equal_width_bins,
     triples_export, triples_pivot, transform_init, separation_exact, separation_sampled, group_stats, group_counts, nn_coherence, conditional_labels, label_concat,
     quantize_scalar, synthetic_ramp, pca_reduce, pca_init, spectral_init, random_init, umap, umap_train_size, umap_transform, umap_stream, umap_with_knn, umap_pca, tsne, tsne_compressed,
-    codec_encode, codec_decode, knn_compressed, knn_codes_reranked, fuzzy_compressed, knn_approx,
+    codec_encode, codec_decode, codec_memory, knn_compressed, knn_dispatch, csv_points, embedding_csv, optional_source, timings_ranked, housekeeping, gathered, vector_kernels, graph_facts, umap_facts, triples_roundtrip, knn_codes_reranked, fuzzy_compressed, knn_approx,
 )} | {f"umap_compressed_{b}": _compressed(b) for b in (4, 8, 12)}
