@@ -117,11 +117,11 @@ def line_dedup(docs, least=20):
     first = {}
     for d, t in sorted(docs, key=lambda x: x[0]):
         for x in (t or "").split("\n"):
-            if len(x) >= least:
+            if WORD.search(x):
                 first.setdefault(x, d)
     by = defaultdict(list)
     for x in first:
-        for n in {len(x), len(x) - 1}:
+        for n in {len(x), len(x) - 1} if len(x) >= least else ():
             by[n, 1, x[: n // 2]].append(x)
             by[n, 2, x[len(x) - (n - n // 2) :]].append(x)
     near = {max((first[x], x), (first[y], y))[1] for g in by.values() for i, x in enumerate(g) for y in g[:i] if x != y and one_edit(x, y)}
@@ -132,7 +132,7 @@ def line_dedup(docs, least=20):
             continue
         now, seen, n_near = [], set(), set()
         for x in t.split("\n"):
-            if len(x) >= least:
+            if WORD.search(x):
                 if x in near and first[x] == d:
                     n_near.add(x)
                 if x in near or x in seen or first[x] < d:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ITEM_WORD, covered, let, lower_ascii, table
+from .common import ITEM_WORD, covered, let, lower_ascii, running, table
 
 #: Hashes (8 bytes each) up to this number are part of the plan.
 IN_PLAN = 50_000
@@ -58,8 +58,9 @@ def _probe(sizes: dict[int, list[int]]) -> str:
 
 
 def _all_windows(sizes: list[int]) -> str:
-    parts = [f"transform(if(size(w) < {k}, array(), sequence(1, size(w) - {k - 1})), i -> struct(i - 1 as b, i - 1 + {k} as e, array_join(slice(w, i, {k}), ' ') as gram))" for k in sizes]
-    return f"concat({', '.join(parts)})" if parts else NONE
+    """SQL over ``w``: struct(b, size, hash) of all windows of the given sizes."""
+    parts = [f"transform(if(size(w) < {k}, array(), sequence(1, size(w) - {k - 1})), i -> struct(i - 1 as b, {k} as size, xxhash64(slice(w, i, {k})) as hash))" for k in sizes]
+    return f"concat({', '.join(parts)})" if parts else "cast(array() as array<struct<b: int, size: int, hash: bigint>>)"
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, in_plan: int = IN_PLAN) -> DataFrame:
@@ -79,10 +80,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, in_plan: i
         # a generator of one row: nothing that is asked of its result is evaluated on the words again
         seen = table(base.select("key", "doc_id", F.explode_outer(F.array(probe)).alias("c")).select("key", "doc_id", "c.*"), "scanned")
         near = seen.where("size(near) > 0").select("key", F.explode("near").alias("p")).select("key", "p.*")
-    else:
+    else:  # windows meet the benchmark by hash alone; only those that do are looked up again as words
         sizes = [r[0] for r in windows.select("size").distinct().orderBy("size").collect()]  # n values at most
         seen = base.select("key", "doc_id", F.size("w").cast("long").alias("n_words"))
-        near = base.select("key", F.explode(F.expr(f"transform(array(w), w -> {_all_windows(sizes)})[0]")).alias("p")).select("key", "p.*")
+        probes = base.select("key", F.explode(F.expr(f"transform(array(w), w -> {_all_windows(sizes)})[0]")).alias("p")).select("key", "p.*")
+        met = probes.join(windows.select("size", "hash").distinct(), ["size", "hash"], "left_semi")
+        met = table(met.groupBy("key").agg(F.collect_set(F.struct("b", "size")).alias("at")), "met")
+        words = base.join(met, "key").select("key", F.expr("explode(transform(at, x -> struct(x.b as b, x.b + x.size as e, array_join(slice(w, x.b + 1, x.size), ' ') as gram)))").alias("p"))
+        near = words.dropDuplicates(["key", "p"]).select("key", "p.*")
     true = near.join(windows.select("gram", F.col("items").alias("of")), "gram")
     found = table(true.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("b", "e"))).alias("found"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("of")))).alias("items")), "hits")
     out = seen.join(found, "key", "left").select(
@@ -92,15 +97,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, in_plan: i
 
 
 def _merged(found: Column) -> Column:
-    """Sorted spans joined where they touch or overlap."""
-    empty = F.expr("cast(array() as array<struct<b: int, e: int>>)")
+    """Sorted spans joined where they touch or overlap, in linear time."""
+
+    def joined(x: Column) -> Column:
+        tops = running(F.transform(x, lambda s: s["e"]), F.lit(0), lambda a, v: F.greatest(a, v))  # the furthest end so far
+        return let(tops, lambda t: heads(x, t))
 
-    def step(a: Column, h: Column) -> Column:
-        last = F.try_element_at(a, F.lit(-1))
-        longer = F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(last["b"].alias("b"), F.greatest(last["e"], h["e"]).alias("e"))))
-        return F.when((F.size(a) > 0) & (h["b"] <= last["e"]), longer).otherwise(F.concat(a, F.array(F.struct(h["b"].alias("b"), h["e"].alias("e")))))
+    def heads(x: Column, t: Column) -> Column:
+        first = F.filter(F.transform(x, lambda s, i: F.struct(s["b"].alias("b"), i.alias("i"))), lambda s: (s["i"] == 0) | (F.get(t, s["i"] - 1) < s["b"]))
+        return let(first, lambda f: F.transform(f, lambda s, i: F.struct(s["b"].alias("b"), F.get(t, F.coalesce(F.get(f, i + 1)["i"], F.size(t)) - 1).alias("e"))))
 
-    return F.aggregate(found, empty, step)
+    return F.when(F.size(found) > 0, let(found, joined)).otherwise(F.expr("cast(array() as array<struct<b: int, e: int>>)"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *also: str, n: int = 13) -> DataFrame:
@@ -115,6 +122,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *also: str, n: int = 13
     words, gaps = words_of(F.col("text"), RAW_WORD), F.split("text", RAW_WORD, -1)
 
     def rebuilt(w: Column) -> Column:
-        return let(gaps, lambda g: F.concat(F.get(g, F.lit(0)), F.array_join(F.transform(w, lambda x, i: F.when(F.exists("spans", lambda s: (s["b"] <= i) & (i < s["e"])), F.lit("")).otherwise(F.concat(x, F.get(g, i + 1)))), "")))
+        pieces = let(gaps, lambda g: F.transform(w, lambda x, i: F.concat(x, F.get(g, i + 1))))
+
+        def between(p: Column) -> Column:  # what stands between a span and the next one, at both ends of the text too
+            def part(i: Column) -> Column:
+                start = F.coalesce(F.get("spans", i - 1)["e"], F.lit(0))
+                return F.array_join(F.slice(p, start + 1, F.coalesce(F.get("spans", i)["b"], F.size(p)) - start), "")
+
+            return F.array_join(F.transform(F.sequence(F.lit(0), F.size("spans")), part), "")
+
+        return F.concat(F.get(gaps, F.lit(0)), let(pieces, between))
 
     return scored.select("doc_id", *also, F.when(F.col("spans").isNull(), F.col("text")).otherwise(let(words, rebuilt)).alias("text"))

@@ -16,7 +16,8 @@ file, cut from its own start and end; so lines meet if and only if their lengths
 
 Exact copies collapse before the join, by map-side aggregation on a 128-bit hash, so a very common line is one row.
 
-Defined results: null texts have no lines and stay null. Lines shorter than ``min_chars`` stay, wherever they repeat. Rows
+Defined results: null texts have no lines and stay null. Lines without a word stay, wherever they repeat; lines shorter
+than ``min_chars`` are dropped only as exact copies, as one edit may change all they say. Rows
 of one doc_id count as one document; a null doc_id counts as the last. Empty tables give empty results.
 """
 
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, semi, table
+from .common import WORD, before, let, semi, table
 
 SMALL = 8
 _LAST = "coalesce(doc_id, 9223372036854775807L)"
@@ -72,10 +73,10 @@ def within(a: Column, b: Column, edits: int = 1) -> Column:
     return F.when(near, let(F.struct(a.alias("a"), b.alias("b")), lambda p: run(p["a"], p["b"]))).otherwise(F.lit(False))
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc, line) for the distinct lines of each document that are long enough."""
-    long = f"array_distinct(filter(split(text, '\\n', -1), x -> length(x) >= {min_chars}))"
-    return docs.select(F.expr(_LAST).alias("doc"), F.explode(F.expr(long)).alias("line"))
+def _lines(docs: DataFrame, min_chars: int = 0) -> DataFrame:
+    """(doc, line) for the distinct lines of each document that hold a word and are long enough."""
+    own = F.array_distinct(F.filter(F.split("text", "\n", -1), lambda x: (F.length(x) >= min_chars) & x.rlike(WORD)))
+    return docs.select(F.expr(_LAST).alias("doc"), F.explode(own).alias("line"))
 
 
 def _keys(text: str, length: str, parent: str) -> str:
@@ -98,7 +99,7 @@ def _met(keyed: DataFrame) -> DataFrame:
 def near_links(docs: DataFrame, lines: DataFrame, min_chars: int) -> DataFrame | None:
     """(a, b) texts' hashes of lines within one edit, a's line earlier; enough of them that each line with an earlier
     partner has one. None if no two lines share a segment."""
-    met = table(_met(lines.select("id", F.explode(F.array(*[F.struct(F.col(f"k{i}").alias("key"), F.lit(i < 2).alias("own"), F.lit(1 + i % 2).alias("side")) for i in range(4)])).alias("k")).select("id", "k.*")), "segments")
+    met = table(_met(lines.where("k0 is not null").select("id", F.explode(F.array(*[F.struct(F.col(f"k{i}").alias("key"), F.lit(i < 2).alias("own"), F.lit(1 + i % 2).alias("side")) for i in range(4)])).alias("k")).select("id", "k.*")), "segments")
     ids = met.select("id").distinct()
     found = semi(_lines(docs, min_chars).withColumn("id", F.xxhash64("line")), ids, "id")
     texts = table(found.groupBy("id", "line").agg(F.min("doc").alias("first")), "candidates")
@@ -155,8 +156,8 @@ def dedup_lines(docs: DataFrame, *also: str, min_chars: int = 20) -> DataFrame:
     n_near counts the removed lines that are no exact copy of an earlier one.
     """
     texts = docs.select("doc_id", "text")
-    seen = _lines(texts, min_chars)
-    hashed = seen.select("doc", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2"), F.expr(_keys("line", "length(line)", "0")).alias("k"))
+    seen = _lines(texts)
+    hashed = seen.select("doc", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2"), F.when(F.length("line") >= min_chars, F.expr(_keys("line", "length(line)", "0"))).alias("k"))
     hashed = hashed.select("doc", "id", "id2", *[F.col("k")[i]["key"].alias(f"k{i}") for i in range(4)])
     lines = table(hashed.groupBy("id", "id2").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("docs"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(4)]), "lines")
     near = near_links(texts, lines, min_chars)
@@ -173,8 +174,24 @@ def dedup_lines(docs: DataFrame, *also: str, min_chars: int = 20) -> DataFrame:
     out = docs.select("doc_id", "text", *also).withColumn("doc", F.expr(_LAST)).join(drop.hint("shuffle_hash"), "doc", "left")
 
     def kept(x: Column) -> Column:
-        return let(F.struct(x.alias("all"), (F.size(F.array_distinct(x)) == F.size(x)).alias("single")), lambda p: F.filter(p["all"], lambda s, i: (F.length(s) < min_chars) | (
-            ~F.coalesce(F.array_contains("drop", F.xxhash64(s)), F.lit(False)) & (p["single"] | (F.array_position(p["all"], s) == i + 1)))))
+        # lines in an order in which equal ones are neighbours, so that a text of many lines takes no search for each
+        def marked(all_: Column) -> Column:
+            gone = F.array_sort(F.array_distinct(F.coalesce("drop", F.expr("cast(array() as array<bigint>)"))))
+
+            def doomed(sorted_: Column, d: Column) -> Column:
+                def stays(s: Column, i: Column) -> Column:
+                    h = F.xxhash64(s["line"])
+                    at = before(F.size(d), lambda m: F.get(d, m) < h)
+                    again = F.coalesce((i > 0) & (F.get(sorted_, i - 1)["line"] == s["line"]), F.lit(False))
+                    return ~s["line"].rlike(WORD) | (~again & ~F.coalesce(F.get(d, at) == h, F.lit(False)))
+
+                return F.transform(F.array_sort(F.transform(F.filter(sorted_, stays), lambda s: F.struct(s["at"].alias("at"), s["line"].alias("line")))), lambda s: s["line"])
+
+            rows = F.sort_array(F.transform(all_, lambda s, i: F.struct(s.alias("line"), i.alias("at"))))
+            return let(F.struct(rows.alias("rows"), gone.alias("gone")), lambda p: doomed(p["rows"], p["gone"]))
+
+        clean = F.col("drop").isNull() & (F.size(F.array_distinct(x)) == F.size(x))
+        return F.when(clean, x).otherwise(marked(x))
 
     parts = F.split("text", "\n", -1)
     out = out.select("doc_id", "text", *also, parts.alias("was"), F.coalesce("n_near", F.lit(0)).alias("n_near"), let(parts, kept).alias("now"))

@@ -91,11 +91,11 @@ select c.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, c.doc_id =
 def line_dedup(least: int = 20) -> str:
     one = "case when length(x) = length(y) then len(list_filter(range(1, length(x) + 1), lambda i: x[i] <> y[i])) <= 1 else len(list_filter(range(1, length(x) + 1), lambda i: x[1:i - 1] = y[1:i - 1] and x[i + 1:] = y[i:])) > 0 end"
     return f"""with ln as (select doc_id, unnest(l) as line, unnest(range(1, len(l) + 1)) as pos from (select doc_id, string_split(text, chr(10)) as l from documents where text is not null)),
-f as (select line, min(doc_id) as first from ln where length(line) >= {least} group by line),
-keyed as (select line, first, n, side, case when side = 1 then left(line, n // 2) else right(line, n - n // 2) end as part from (select *, unnest([length(line), length(line) - 1]) as n from f), (values (1), (2)) t(side)),
+f as (select line, min(doc_id) as first from ln where regexp_matches(line, '{WORD}') group by line),
+keyed as (select line, first, n, side, case when side = 1 then left(line, n // 2) else right(line, n - n // 2) end as part from (select *, unnest([length(line), length(line) - 1]) as n from f where length(line) >= {least}), (values (1), (2)) t(side)),
 near as (select distinct case when (x.first, x.line) < (y.first, y.line) then y.line else x.line end as line from keyed x join keyed y on x.n = y.n and x.side = y.side and x.part = y.part and x.line <> y.line and length(x.line) >= length(y.line) and length(y.line) = y.n
   where (select {one} from (select x.line as x, y.line as y))),
-judged as (select ln.*, f.first, near.line is not null as near, length(ln.line) >= {least} and (near.line is not null or first < doc_id or row_number() over (partition by doc_id, ln.line order by pos) > 1) as gone
+judged as (select ln.*, f.first, near.line is not null as near, first is not null and (near.line is not null or first < doc_id or row_number() over (partition by doc_id, ln.line order by pos) > 1) as gone
   from ln left join f using (line) left join near using (line)),
 d as (select doc_id, count(*) as n_lines, count(*) filter (gone) as n_removed, count(distinct line) filter (near and first = doc_id and length(line) >= {least}) as n_near, string_agg(line, chr(10) order by pos) filter (not gone) as kept from judged group by doc_id)
 select documents.doc_id, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_near, 0)::bigint as n_near, case when text is not null then sha256(coalesce(kept, '')) end as kept_sha256 from documents left join d using (doc_id)"""

@@ -81,9 +81,10 @@ class Ledger:
         paths = [f"{self.folder}/{kind}/{b}" for b in self._batches()]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def live(self) -> DataFrame:
-        """(id, source, lang, tokenizer, tokens) of the documents that are there."""
-        net = self._read("signed", SIGNED).groupBy("id", *KEYS).agg(F.sum("sign").alias("n"), F.sum(F.col("sign") * F.col("tokens")).alias("tokens"))
+    def live(self, ids: DataFrame | None = None) -> DataFrame:
+        """(id, source, lang, tokenizer, tokens) of the documents that are there; of ``ids(id)``, if they are given."""
+        signed = self._read("signed", SIGNED)
+        net = (signed if ids is None else signed.join(ids, "id", "left_semi")).groupBy("id", *KEYS).agg(F.sum("sign").alias("n"), F.sum(F.col("sign") * F.col("tokens")).alias("tokens"))
         return net.where("n > 0").drop("n")
 
     def totals(self) -> DataFrame:
@@ -99,7 +100,7 @@ class Ledger:
         new = changes.select(F.expr(_ID).alias("id"), F.struct("op", "source", "lang", "tokens").alias("c")).groupBy("id").agg(F.max("c").alias("c")).select("id", "c.*")
         plus = new.where("op != 'delete'").select("id", "source", "lang", F.lit(self.tokenizer).alias("tokenizer"), F.lit(1).alias("sign"), "tokens")
         if self._batches():
-            old = self.live().join(new.select("id"), "id", "left_semi")
+            old = self.live(new.select("id"))  # other documents' rows are read, but neither shuffled nor summed
             plus = plus.union(old.select("id", *KEYS, F.lit(-1).alias("sign"), "tokens"))
         plus.write.mode("overwrite").parquet(signed)
         rows = self.spark.read.schema(SIGNED).parquet(signed)
