@@ -11,7 +11,9 @@ That spreads what capped cells lack over all others by one factor, and so misses
 least(n, w), meet the group's goal. A group's goal is its target share of the kept tokens, or all it has where that is
 less, and the margin's other groups make up for it in proportion to their targets.
 
-The cells are pre-aggregated before any shuffle, so a source with a third of all rows is a few cells like any other.
+The cells are pre-aggregated before any shuffle, so a source with a third of all rows is a few cells like any other. Counted
+to be few, they are raked by windows within one task; otherwise each margin's groups are dealt to the cluster. The
+fitting is the same.
 
 Target shares default to tempered ones, each share to the power ``temper``, normalized; or give {name: share} a margin.
 Without a ``topic`` column the topic is the text's form: short (under 50 words), list (under 12 words a line), long (over
@@ -33,6 +35,8 @@ MARGINS = ("source", "lang", "topic")
 ROUNDS, TEMPER, KEEP = 8, 0.5, 0.7
 #: Rounds of the bounded raking, which settles which cells are capped on the way.
 BOUNDED_ROUNDS = 16
+#: Up to this many cells (some 7 MB) are raked in one task, without a shuffle for each margin and round.
+ONE_TASK = 100_000
 
 
 def described(docs: DataFrame, *also: str) -> DataFrame:
@@ -85,7 +89,10 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int, te
             goals = levelled(groups, "1", F.lit(kept * total)).select(m, F.least("n", "w").alias(f"t_{m}"))
             out = out.drop(f"t_{m}").join(goals, m)
     out = table(out, "cells")
+    few = out.count() <= ONE_TASK
     for i in range(rounds):
+        if few and i % 4 == 0:
+            out = out.coalesce(1)
         for m in MARGINS:
             out = out.withColumn("w", F.expr(f"w * t_{m} / sum(w) over (partition by {m})")) if kept is None else levelled(out, m, F.col(f"t_{m}"))
         if i % 4 == 3 or i == rounds - 1:
