@@ -2,7 +2,8 @@
 
 Features are the letter 1- to 3-grams of each word, with word boundaries, hashed into ``BUCKETS`` rows of an embedding.
 A text is the mean of its grams' rows; a linear softmax gives class probabilities. Both are trained together by
-stochastic gradient descent in numpy on the driver, over a bounded sample of labelled texts (``per_lang`` a language).
+stochastic gradient descent in numpy in one task, over a bounded sample of labelled texts (``per_lang`` a language) in an
+order of its own, so a task that is run again gives the same model; the model alone reaches the driver.
 Beside the languages there is a class of strangers: each sampled text also gives one text that is in no language, by a hash
 of it with its letters shuffled, as words of random letters, as a few keys repeated, or as program code. A text's score is
 its language's probability with strangers among the classes. A second part of the labelled texts, and of their strangers,
@@ -209,17 +210,21 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, max_rejected: float = 0.002)
     draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     sample = known.where(draw < share).select("lang", "part", "text").limit(2 * per_lang * len(sizes))
 
-    def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
         for b in batches:
-            texts = b.column(2).to_pylist()
-            for langs, of in ((b.column(0).cast(pa.string()), texts), (pa.nulls(len(texts), pa.string()), [stranger(t) for t in texts])):
-                found = [packed(c) for c in counts(of)]
-                yield pa.RecordBatch.from_arrays([langs, b.column(1).cast(pa.int64()), *(pa.array([f[i] for f in found], pa.binary()) for i in (0, 1))], ["lang", "part", "buckets", "n"])
-
-    got = sample.mapInArrow(featurize, "lang string, part long, buckets binary, n binary").toArrow()
-    rows = [(lang, part == 2, np.frombuffer(b, np.uint16), np.frombuffer(n, np.uint16)) for lang, part, b, n in zip(*(got[c].to_pylist() for c in ("lang", "part", "buckets", "n"))) if b]
-    del got
-    return train(rows, max_rejected)
+            texts, langs, parts = b.column(2).to_pylist(), b.column(0).to_pylist(), b.column(1).to_pylist()
+            for names, of in ((langs, texts), ([None] * len(texts), [stranger(t) for t in texts])):
+                rows += [(lang, part, *packed(c)) for lang, part, c in zip(names, parts, counts(of))]
+        rows.sort(key=lambda r: (r[0] is None, r[0] or "", *r[1:]))  # rows come in any order; the model is the same
+        model = train([(lang, part == 2, np.frombuffer(at, np.uint16), np.frombuffer(n, np.uint16)) for lang, part, at, n in rows if at], max_rejected)
+        yield pa.RecordBatch.from_pylist([{"langs": model.langs, "table": model.table.tobytes(), "bias": model.bias.tobytes(), "below": model.reject_below}], schema=pa.schema([("langs", pa.list_(pa.string())), ("table", pa.binary()), ("bias", pa.binary()), ("below", pa.float64())]))
+
+    found = sample.coalesce(1).mapInArrow(learn, "langs array<string>, table binary, bias binary, below double").collect()  # one row
+    if not found or not found[0]["langs"]:
+        return train([], max_rejected)
+    langs, scores, bias, below = found[0]
+    return Model(list(langs), np.frombuffer(bytes(scores)).reshape(BUCKETS, -1), np.frombuffer(bytes(bias)), below)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
