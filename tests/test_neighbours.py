@@ -1,7 +1,10 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vicinal.functions.kernels import nearest
 from vicinal.operators import graph as G
 from vicinal.operators import knn as K
 from vicinal.operators import quality as Q
@@ -56,6 +59,20 @@ def test_distributed_product_agrees_with_broadcast(spark, monkeypatch):
     assert listed(K.knn_exact(p, 4)) == want
 
 
+def test_a_transform_holds_no_whole_distance_matrix():
+    # 1,024 queries against 20,000 rows are 160 MB of distances; the pieces are 16 MB
+    rng = np.random.default_rng(8)
+    x, q, ids = rng.normal(size=(20_000, 8)), rng.normal(size=(1_024, 8)), np.arange(20_000) * 2
+    x[10_000:10_040] = x[0]  # ties across pieces
+    q[0] = x[0]
+    tracemalloc.start()
+    got = K.nearest_in_blocks(q, x, ids, 15)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = nearest(q, np.arange(len(q)), x, ids, 15, False)
+    assert all(np.array_equal(a, b) for a, b in zip(got, want)) and peak < 100 << 20
+
+
 def test_neighbours_are_a_prefix_of_more_neighbours(spark):
     p = P.points(spark, "/root/testdata/sf0.001").where("id < 100")
     five, six = listed(K.knn_exact(p, 5)), listed(K.knn_exact(p, 6))
