@@ -52,6 +52,18 @@ def test_block_and_expression_forms_agree(spark):
     assert {(r.src, r.dst, r["rank"], r.dist) for r in a} == {(r.src, r.dst, r["rank"], r.dist) for r in b}
 
 
+@pytest.mark.parametrize("width", [3, 64, 70])
+def test_expression_form_by_bit_planes_is_exact(make_points, monkeypatch, width):
+    # with copies, ties and a far point that makes the steps of the others coarse
+    monkeypatch.setattr(K, "PLAIN_POINTS", 10)
+    x = np.random.default_rng(width).normal(size=(90, width)).round(1)
+    x[40:48] = x[0]
+    x[89] = 30
+    p = make_points(x, start=-20)
+    a, b = K.knn_exact(p, 5).collect(), K.knn_expression(p, 5).collect()
+    assert len(a) == 450 and sorted(a) == sorted(b)
+
+
 def test_distributed_product_agrees_with_broadcast(spark, monkeypatch):
     p = P.points(spark, "/root/testdata/sf0.001").where("id < 200").repartition(3)
     want = listed(K.knn_exact(p, 4))
