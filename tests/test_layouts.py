@@ -99,6 +99,28 @@ def test_repulsion_by_pyramid_is_close_to_exact():
     assert pair[0, 0] < 0 < pair[1, 0] and np.isclose(pair[0, 0], -pair[1, 0])
 
 
+@pytest.mark.parametrize("size", [0.001, 3, 20])
+def test_repulsion_by_grid_is_closer_to_exact_than_the_pyramid(size):
+    y = np.random.default_rng(2).normal(size=(1500, 2)) * size
+    a, za = T.exact_repulsion(y)
+    (b, zb), (c, _) = T.grid_repulsion(y, 0.5), T.pyramid_repulsion(y, 0.5)
+    assert abs(za - zb) / za < 0.002 and np.linalg.norm(a - b) < np.linalg.norm(a - c) and np.linalg.norm(a - b) < 0.03 * np.linalg.norm(a)
+    assert T.grid_repulsion(y * 1000 / size, 0.5) is None
+
+
+def test_descent_of_many_points_follows_the_exact_one(monkeypatch):
+    rng = np.random.default_rng(3)
+    src, dst = np.triu_indices(400, 1)
+    near = (src % 4 == dst % 4) & (rng.random(len(src)) < 0.2)
+    src, dst, start = src[near], dst[near], rng.normal(size=(400, 2)) * 0.01
+    p = np.full(len(src), 0.5 / len(src))
+    found = []
+    for least in (5_000, 10):
+        monkeypatch.setattr(T, "EXACT_POINTS", least)
+        found.append(T.descend(start, src, dst, p, 30, 20.0, 4.0, 20, 0.5))
+    assert np.linalg.norm(found[0] - found[1]) < 0.01 * np.linalg.norm(found[0])
+
+
 def test_tsne_runs(make_points):
     points = make_points(np.random.default_rng(3).normal(size=(30, 4)) + np.repeat([0, 20], 15)[:, None])
     y = coordinates(Tsne(perplexity=5, n_iter=120).run(points, K.knn(points, 10)))

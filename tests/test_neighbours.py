@@ -1,9 +1,11 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from vicinal.functions import kernels
 from vicinal.functions.kernels import nearest
 from vicinal.operators import graph as G
 from vicinal.operators import knn as K
@@ -85,6 +87,20 @@ def test_a_transform_holds_no_whole_distance_matrix():
     assert all(np.array_equal(a, b) for a, b in zip(got, want)) and peak < 100 << 20
 
 
+def test_blocks_beyond_the_first_measure_few_rows(monkeypatch, make_points):
+    # 20 blocks meet one of queries: once each query has k neighbours, only rows within the k-th distance are measured
+    x = np.random.default_rng(11).normal(size=(2_000, 4))
+    x[1_500:1_520] = x[3]
+    measured = []
+    monkeypatch.setattr(kernels, "exact_distances", lambda a, b, real=kernels.exact_distances: measured.append(len(a)) or real(a, b))
+    ids = np.random.default_rng(12).permutation(2_000)
+    table = pa.RecordBatch.from_arrays([pa.array([ids[:100].tobytes()] * 20), pa.array([x[:100].tobytes()] * 20), pa.array([ids[i : i + 100].tobytes() for i in range(0, 2_000, 100)]), pa.array([x[i : i + 100].tobytes() for i in range(0, 2_000, 100)])], ["qi", "qx", "xi", "xx"])
+    got = pa.Table.from_batches(list(K._compare(10, True)(iter([table]))))
+    assert sum(measured) < 20 * 100 * 10 / 2
+    row, dst, dist = nearest(x[:100], ids[:100], x, ids, 10, True)
+    assert sorted(zip(*(c.to_pylist() for c in got.columns))) == sorted(zip(ids[row].tolist(), dst.tolist(), dist.tolist()))
+
+
 def test_neighbours_are_a_prefix_of_more_neighbours(spark):
     p = P.points(spark, "/root/testdata/sf0.001").where("id < 100")
     five, six = listed(K.knn_exact(p, 5)), listed(K.knn_exact(p, 6))
